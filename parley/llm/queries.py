@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality_fm
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_quality_fm": quality_fm.op7_quality_fm}
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}

@@ -17,6 +17,8 @@ _RINV = pow(_R, -1, 1 << 64)
 _SPAN = 1 << 18
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
+_NOT_WORD = np.ones(256, bool)  # ASCII letters and digits, and all bytes of other characters, make words
+_NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[int, np.ndarray] = {}
@@ -70,14 +72,17 @@ def slices(arr: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (one more entry ends the last)."""
+def words(buf: np.ndarray, offsets: np.ndarray, punctuation: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word (one more entry ends the last).
+
+    Without punctuation, a word ends at any ASCII character that is neither a letter nor a digit.
+    """
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~_WS[buf]
+    inside[1:-1] = ~(_WS if punctuation else _NOT_WORD)[buf]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     cuts = offsets[1:-1]  # a row's end ends a word too
