@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_fm
+from . import bpe, exact_dedup, mixing, quality_fm
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_quality_fm": quality_fm.op7_quality_fm}
+QUERIES = {
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op7_quality_fm": quality_fm.op7_quality_fm,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+}
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
