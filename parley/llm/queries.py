@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_fm
+from . import bpe, exact_dedup, mixing, quality_fm, simhash_vp
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_quality_fm": quality_fm.op7_quality_fm,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_simhash_vp": simhash_vp.op10_simhash_vp,
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
