@@ -111,7 +111,9 @@ def _stable_after(text: str, m: int, b: int) -> int:
     return b
 
 
-codec = lru_cache(maxsize=4)(Codec)
+@lru_cache(maxsize=4)
+def codec(path: str, leaf: int) -> Codec:
+    return Codec(path, leaf)
 
 
 def _coder(path: str, leaf: int):
