@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, keys: list[str], most_bytes: int = 32 << 20):
+    """(table, starts): tables of whole groups from record batches sorted by keys, with the first row of each group.
+
+    What memory holds at once is bounded by most_bytes and the largest group.
+    """
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most_bytes:
+            t, starts = _grouped(held, keys)
+            if len(starts) > 1:
+                yield t.slice(0, int(starts[-1])), starts[:-1]
+                t = t.slice(int(starts[-1])).take(pa.array(np.arange(t.num_rows - int(starts[-1]))))  # a copy, to let go of the rest
+                held, size = t.to_batches(), t.nbytes
+            most_bytes = max(most_bytes, 2 * size)
+    if held:
+        yield _grouped(held, keys)
+
+
+def _grouped(held: list, keys: list[str]):
+    t = pa.Table.from_batches(held).combine_chunks()
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = t[k].to_numpy(zero_copy_only=False)
+        new[1:] |= v[1:] != v[:-1]
+    return t, np.flatnonzero(new)

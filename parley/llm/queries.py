@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_fm, simhash_vp
+from . import bpe, embedding_lsh, exact_dedup, mixing, quality_fm, simhash_vp
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_embedding_lsh": embedding_lsh.op4_embedding_lsh,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_quality_fm": quality_fm.op7_quality_fm,
     "op9_byte_bpe": bpe.op9_byte_bpe,
