@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_lsh, exact_dedup, mixing, quality_fm, simhash_vp
+from . import bpe, embedding_lsh, exact_dedup, mixing, quality_fm, simhash_vp, suffix_dedup
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_embedding_lsh": embedding_lsh.op4_embedding_lsh,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality_fm": quality_fm.op7_quality_fm,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash_vp": simhash_vp.op10_simhash_vp,
