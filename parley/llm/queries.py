@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_lsh, exact_dedup, language_id, mixing, quality_fm, simhash_vp, suffix_dedup
+from . import bpe, embedding_lsh, exact_dedup, language_id, mixing, pii_crf, quality_fm, simhash_vp, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_pii_crf": pii_crf.op2_pii_crf,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_embedding_lsh": embedding_lsh.op4_embedding_lsh,
     "op5_source_mixing": mixing.op5_source_mixing,
