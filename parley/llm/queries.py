@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_lsh, exact_dedup, language_id, mixing, pii_crf, quality_fm, simhash_vp, suffix_dedup
+from . import bpe, embedding_lsh, exact_dedup, language_id, lm_pseudo, mixing, pii_crf, quality_fm, simhash_vp, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality_fm": quality_fm.op7_quality_fm,
+    "op8_lm_pseudo": lm_pseudo.op8_lm_pseudo,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash_vp": simhash_vp.op10_simhash_vp,
 }
