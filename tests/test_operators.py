@@ -1,0 +1,240 @@
+"""Operators, statistics and text functions: values of the fixtures, and each decision where the source behaviour was unclear."""
+
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from parley.functions import text as T
+from parley.functions.html import Selector, parse, stripper
+from parley.operators import filters, statistics, text
+from parley.schema import CONVERSATION, flat, from_turns, numbered
+
+
+def chat(spark, *conversations):
+    """Conversations of (from, value) pairs, or of (id, from, value)."""
+    rows = []
+    for k, c in enumerate(conversations):
+        rows.append((k, k, str(k), [(m if len(m) == 3 else (i, *m)) for i, m in enumerate(c)], None))
+    return spark.createDataFrame(rows, CONVERSATION)
+
+
+def values(df):
+    return [[m.value for m in r.messages] for r in df.orderBy("conversation_seq").collect()]
+
+
+def froms(df):
+    return [[m["from"] for m in r.messages] for r in df.orderBy("conversation_seq").collect()]
+
+
+def test_trim(spark):
+    df = chat(spark, [("a", "\u00a0\t text \u3000\ufeff\r\n"), ("a", ""), ("a", " \n")], [])
+    assert values(text.trim(df)) == [["text", "", ""], []]
+    assert values(text.trim(text.trim(df))) == values(text.trim(df))
+
+
+@pytest.mark.parametrize("codec,value,want", [
+    ("us-ascii", "é", "?"), ("us-ascii", "a😀", "a??"), ("iso-8859-1", "éあ", "é?"), ("iso-8859-1", "😀", "??"), ("utf-8", "é", "?"), ("utf-8", "Ã©", "é"),
+    ("utf-8", "😀", "??"), ("utf-8", "plain", "plain"), ("unknown", "Ã©", "é"), ("us-ascii", "\ufffd", "?"),
+])
+def test_encoding(spark, codec, value, want):
+    assert values(text.encoding(chat(spark, [("a", value)]), codec, "?")) == [[want]]
+
+
+def test_encoding_replacement_above_the_top(spark):
+    assert values(text.encoding(chat(spark, [("a", "é😀x")]), "us-ascii", "\u3042")) == [["\u3042\u3042\u3042x"]]
+    assert values(text.encoding(chat(spark, [("a", "é😀x")]), "us-ascii")) == [["\ufffd\ufffd\ufffdx"]]
+
+
+def test_regex_replace(spark):
+    df = chat(spark, [("a", "x b\nc\n")])
+    assert values(text.regex_replace(df, [["x", "$1\\"]])) == [["$1\\ b\nc\n"]]
+    assert values(text.regex_replace(df, [["x", "b"], ["b", "c"]])) == [["c c\nc\n"]]
+    assert values(text.regex_replace(df, [["c$", "!"]])) == [["x b\nc\n"]]  # $ is the very end
+    assert values(text.regex_replace(df, [["[bc]$", "!"]], multi_line=True)) == [["x !\n!\n"]]
+    assert values(text.regex_replace(df, [["B.C", "!"]], case_sensitive=False, dot_all=True)) == [["x !\n"]]
+    assert values(text.regex_replace(chat(spark, [("a", "a\u3000b")]), [[r"\s", "_"]])) == [["a_b"]]
+
+
+@pytest.mark.parametrize("pattern,java", [("a$", r"a\z"), (r"\u{1F600}", r"\x{1F600}"), ("[^]", "(?s:.)"), ("[]", "(?!)"), (r"\/", "/"), (r"[$]", "[$]"), (r"[[a]", r"[\[a]"), (r"\d", "[0-9]")])
+def test_java_regex(pattern, java):
+    assert T.java_regex(pattern) == java
+
+
+def test_exact_replace(spark):
+    df = chat(spark, [("a", "aab")])
+    assert values(text.exact_replace(df, [["aa", "b"], ["bb", "c"]])) == [["c"]]
+    assert values(text.exact_replace(df, [["a", "$1"]], [["b", "x\\ny"], ["zz"]])) == [["$1$1x\ny"]]
+    assert values(text.exact_replace(df, [["ab", "b"]], recursive=True)) == [["b"]]
+    with pytest.raises(ValueError):
+        text.exact_replace(df, [["", "x"]])
+    with pytest.raises(Exception, match="settle"):
+        text.exact_replace(df, [["a", "aa"]], recursive=True).collect()
+
+
+HTML = '<div class="ad x"><a href="/u">buy now</a> t&eacute;xt<!-- c --><script>var a="<p>";</script><p id=i>one<p>two<br>three</div> <img src=x>'
+
+
+def test_html(spark):
+    assert values(text.html_strip(chat(spark, [("a", HTML), ("a", "no markup"), ("a", "")]))) == [["buy now téxtvar a=\"<p>\";onetwothree ", "no markup", ""]]
+    assert stripper(["buy"])(HTML).startswith(" téxt")
+    assert stripper(["BUY"], case_sensitive=False)(HTML).startswith(" téxt")
+    assert stripper(["BUY"])(HTML).startswith("buy")
+    assert stripper(dom=["script", "#i"])(HTML) == "buy now téxttwothree "
+    assert stripper(dom=["div.ad"])(HTML) == " "
+    assert stripper()("<ul><li>a<li>b</ul><b>c") == "abc"
+
+
+@pytest.mark.parametrize("selector,n", [("a, img", 2), ("div a", 1), ("div > p", 2), ("[href]", 1), ("[href='/u']", 1), ("[href^='/x']", 0), ("div.ad.x", 1), ("*", 7), ("span", 0), ("div[class~=ad] p", 2)])
+def test_selectors(selector, n):
+    s = Selector(selector)
+    assert sum(s.matches(e) for e in parse(HTML).elements()) == n
+
+
+def test_full_match_keeps_emptied_conversations(spark):
+    df = chat(spark, [("a", "Bye")], [("a", "bye"), ("b", "bye bye")])
+    assert values(filters.full_match(df, ["Bye"])) == [[], ["bye", "bye bye"]]
+    once = filters.full_match(df, ["BYE"], case_sensitive=False)
+    assert values(once) == [[], ["bye bye"]] == values(filters.full_match(once, ["BYE"], case_sensitive=False))
+    with pytest.raises(ValueError):
+        filters.full_match(df, ["x"], action="keep")
+
+
+def test_participants(spark):
+    df = chat(spark, [(f, f) for f in "aabcab"], [("a", "x")], [])
+    assert froms(filters.participants(df, min=1)) == [list("aabcab"), ["a"]]
+    assert froms(filters.participants(df, max=2)) == [list("aabab"), ["a"], []]
+    assert froms(filters.participants(df, max=1))[0] == list("aaa")
+    assert froms(filters.participants(chat(spark, [("a", "1"), ("b", "2")]), max=1)) == [["a"]]  # among equals the first stays
+    assert froms(filters.participants(df, max=0)) == [[], [], []]
+    assert [len(x) for x in values(filters.participants(df, max=1, alternating=True))] == [1, 1, 0]
+
+
+def test_merging_keeps_first_ids_and_all_text(spark):
+    df = chat(spark, [(5, "a", "x"), (6, "a", "y"), (7, "b", "z"), (8, "a", "w")], [])
+    got = [[tuple(m) for m in r.messages] for r in filters.merged(df).orderBy("conversation_seq").collect()]
+    assert got == [[(5, "a", "x\ny"), (7, "b", "z"), (8, "a", "w")], []]
+
+
+def test_rename(spark):
+    df = chat(spark, [(f, "") for f in "abca"], [])
+    assert froms(filters.rename_participants(df, ["human", "gpt"])) == [["human", "gpt", "c", "human"], []]
+    assert froms(filters.rename_participants(df, [])) == [list("abca"), []]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from("abc"), st.text("xy ", max_size=4)), max_size=6), min_size=1, max_size=6))
+def test_properties(spark, convs):
+    df = chat(spark, *convs)
+    renamed = froms(filters.rename_participants(df, ["p", "q"]))
+    assert [len(set(x)) for x in renamed] == [len({f for f, _ in c}) for c in convs]
+    merged = filters.merged(df)
+    assert ["\n".join(v) for v in values(merged)] == ["\n".join(t for _, t in c) for c in convs]
+    assert all(a != b for c in froms(merged) for a, b in zip(c, c[1:]))
+
+
+def test_sample(spark):
+    df = chat(spark, *[[("a", str(i))] for i in range(250)])
+    s = filters.sampled(df, 0.1, 42, 100)
+    assert s.where("sample").count() == 20 and s.where("complete").count() == 200
+    ids = {r.id for r in s.where("sample").collect()}
+    assert ids == {r.id for r in filters.sampled(df.repartition(7), 0.1, 42, 100).where("sample").collect()}
+    assert ids != {r.id for r in filters.sampled(df, 0.1, 43, 100).where("sample").collect()}
+
+
+def test_numbered(spark):
+    df = spark.range(0, 300_000, 7).withColumn("k", F.col("id") * 11 - 900_000).drop("id")
+    got = numbered(df.repartition(5), "k").orderBy("k").select("n").collect()
+    assert [r.n for r in got] == list(range(len(got)))
+
+
+def test_from_turns_fills_nulls_and_orders(spark):
+    t = spark.createDataFrame([(1, 1, None, "b"), (1, 0, "u", None), (2, 0, "u", "x")], "conv_id long, turn long, role string, text string")
+    assert values(from_turns(t)) == [["", "b"], ["x"]] and froms(from_turns(t)) == [["u", ""], ["u"]]
+    assert flat(from_turns(t)).count() == 3
+
+
+SENTENCE = "This is only a test. Test. 7 Test-8 A. test_sauce27--="
+
+
+def test_statistics_fixture(spark):
+    df = chat(spark, [("human", SENTENCE)])
+    m = statistics.message_stats(df).first()
+    assert (m.len, m.words, m.tokens) == (54, 10, 22)
+    s = statistics.conversation_stats(df).first()
+    assert s.len_mean == s.len_min == s.len_max == s.len_median == 54 and s.len_std_dev == s.words_range == 0
+    v = [r.token for r in statistics.vocabulary(df).orderBy("idx").collect()]
+    assert v[0] == "[UNK]" and v[-1] == "sauce" and len(v) == 27 and v[19:] == "This is only a test Test A sauce".split()
+
+
+def test_empty_corpus(spark):
+    empty = spark.createDataFrame([], CONVERSATION)
+    r = statistics.corpus_stats(statistics.conversation_stats(empty)).first().asDict()
+    assert set(r.values()) == {0}
+    assert statistics.vocabulary(empty).count() == len(statistics.SEED_TOKENS)
+
+
+def test_lengths(spark):
+    df = chat(spark, [("a", "a😀"), ("a", ""), ("a", "a  b ")])
+    rows = statistics.message_stats(df).orderBy("pos").collect()
+    assert [r.len for r in rows] == [3, 0, 5] and [r.words for r in rows] == [1, 1, 4]
+
+
+def test_message_ids_and_conversation_ids_count_once_last_wins(spark):
+    df = chat(spark, [(1, "a", "x y z"), (1, "a", "x"), (2, "a", "")])
+    s = statistics.conversation_stats(df).first()
+    assert (s.messages_count, s.words_total) == (2, 2)
+    twice = df.unionByName(df.withColumn("conversation_seq", F.lit(9).cast("long")).withColumn("messages", F.slice("messages", 1, 1)))
+    s = statistics.conversation_stats(twice).collect()
+    assert len(s) == 1 and s[0].messages_count == 1 and s[0].words_total == 3
+
+
+def test_deviation_is_over_all_messages(spark):
+    squares = [i * i for i in range(10)]
+    df = chat(spark, *[[("a", " " * (n - 1) if n else "")] for n in squares[:4]], [("a", " " * (n - 1)) for n in squares[4:]])
+    got = statistics.corpus_stats(statistics.conversation_stats(df)).first()
+    words = [max(1, n) for n in squares]
+    mean = sum(words) / 10
+    assert math.isclose(got.words_std_dev, math.sqrt(sum((w - mean) ** 2 for w in words) / 10)) and math.isclose(got.words_mean, mean)
+
+
+def test_encode_and_decode(spark):
+    df = chat(spark, [("a", "Test Test Testing")])
+    v = spark.createDataFrame([("[UNK]", 0), (" ", 1), ("Test", 2)], "token string, idx long")
+    assert statistics.encoded(df, v).first().codes == [[2], [2], [0]]
+    assert statistics.decoded(statistics.encoded(df, v), v).first().value == "Test Test [UNK]"
+    own = statistics.vocabulary(df, seed=["[UNK]", " ", "Test"])
+    assert own.count() == 4 and statistics.encoded(df, own).first().codes == [[2], [2], [3]]
+
+
+def test_prune(spark):
+    df = chat(spark, [("a", "one")], [("a", "one two three")], [("a", "w " * 40)], [("a", "one two")] * 4)
+    words = lambda d: sorted(r.id for r in d.collect())
+    assert words(statistics.stats_prune(df)) == [0, 1, 2, 3]
+    assert words(statistics.stats_prune(df, words_clamp_min=2)) == [1, 2, 3]
+    assert words(statistics.stats_prune(df, words_clamp_max=3, messages_max=2)) == [0, 1]
+    assert words(statistics.stats_prune(df, messages_min=2)) == [3]
+    sd = statistics.corpus_stats(statistics.conversation_stats(df)).first().words_std_dev
+    assert words(statistics.stats_prune(df, words_ratio_max=1)) == sorted(i for i, n in enumerate([1, 3, 41, 2]) if n <= sd)
+    some = statistics.conversation_stats(df).where("id <> 1")
+    assert 1 not in words(statistics.stats_prune(df, some))
+    assert statistics.stats_prune(df, words_ratio_min=1, center="mean").columns == df.columns
+
+
+def test_occurrences(spark):
+    df = chat(spark, [("a", "aaaa bAb"), ("a", "a.c abc")])
+    got = lambda rows, **k: {r.pattern: r.occurrences for r in statistics.count_occurrences(df, rows, **k).collect()}
+    assert got([["aa"], ["zz"], ["a.c"], ["aa"]]) == {"aa": 2, "zz": 0, "a.c": 1}
+    assert got([["AB"]], case_sensitive=False) == {"ab": 2}
+    assert got([["a.c"]], regex=True) == {"a.c": 2}
+    rows = [["aa", "k"], ["zz", "m"], ["a.c"]]
+    c = statistics.count_occurrences(df, rows)
+    assert [r.cells for r in statistics.occurrence_rows(c, rows, 2, 1).orderBy("pos").collect()] == [["aa", "k", "2"], ["a.c", "", "1"]]
+
+
+def test_column_merge(spark):
+    rows = spark.createDataFrame([(0, ["k", "1", "x"]), (1, ["j", "x", "y"]), (2, ["k", "2", "z"]), (3, ["j"])], "pos long, cells array<string>")
+    assert [r.cells for r in statistics.add_column_merge(rows).orderBy("pos").collect()] == [["k", "3", "x"], ["j", "0", "y"]]
+    assert [r.cells for r in statistics.add_column_merge(rows, minimum=1).collect()] == [["k", "3", "x"]]
