@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..storage import shared_dir, ship, stored
+
+__all__ = ["col", "fresh", "partitions", "read", "shared_dir", "ship", "small", "stored", "whole_groups"]
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -31,36 +29,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        at = sc._jsc.sc().getCheckpointDir()
-        if at.isDefined():
-            return at.get()
-        base = "file://" + tempfile.mkdtemp(prefix="parley-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, and the loss of an executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parley/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it, unless they have it already."""
-    env = spark.sparkContext.environment
-    if _ROOT not in (have := env.get("PYTHONPATH", "")).split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (have, _ROOT) if x)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit; else Spark joins by shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

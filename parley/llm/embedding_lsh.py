@@ -61,7 +61,7 @@ def signatures(x: np.ndarray, k: int, tables: int, width: float = WIDTH, seed: i
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(vec_a, vec_b, cosine) of pairs whose cosine is at least threshold."""
+    """(vec_a, vec_b, cosine to 4 places) of pairs whose cosine is at least threshold."""
     spark = vectors.sparkSession
     ship(spark)
     v = vectors.select(col(id).cast("long").alias("id"), F.transform(col(vector), lambda e: e.cast("double")).alias("v"))
@@ -117,7 +117,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
                         u, z = left[n : n + (1 << 14)], right[n : n + (1 << 14)]
                         first = (sig[u] == sig[z]).argmax(1) == table[u]
                         u, z, e = u[first], z[first], cos[n : n + (1 << 14)][first]
-                        yield pa.record_batch({"vec_a": np.minimum(ids[u], ids[z]), "vec_b": np.maximum(ids[u], ids[z]), "cosine": e})
+                        yield pa.record_batch({"vec_a": np.minimum(ids[u], ids[z]), "vec_b": np.maximum(ids[u], ids[z]), "cosine": np.round(e, 4)})
 
     return met.mapInArrow(compare, "vec_a long, vec_b long, cosine double")
 
@@ -126,5 +126,14 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 4) AS cosine
+FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+WHERE list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n
+"""
+
+
 def op4_embedding_lsh(spark, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))

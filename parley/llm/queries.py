@@ -16,4 +16,4 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash_vp": simhash_vp.op10_simhash_vp,
 }
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_embedding_lsh": embedding_lsh.OP4_SQL, "op6_suffix_dedup": suffix_dedup.OP6_SQL}

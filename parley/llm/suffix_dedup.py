@@ -258,5 +258,17 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     return out.select(F.col("doc").alias("doc_id"), "start_word", (F.col("end") - F.col("start_word") + length).alias("n_words"), F.col("other").alias("other_doc_id"))
 
 
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+h AS (SELECT doc_id, list_transform(range(len(ws) - 49), lambda s: md5(array_to_string(ws[s + 1 : s + 50], ' '))) AS hs FROM w WHERE len(ws) >= 50),
+g AS (SELECT doc_id, unnest(hs) AS k, generate_subscripts(hs, 1) - 1 AS s FROM h),
+m AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+n AS (SELECT k, low, min(doc_id) AS next FROM g JOIN m USING (k) WHERE doc_id <> low GROUP BY k, low),
+r AS (SELECT DISTINCT doc_id, s, CASE WHEN doc_id = low THEN next ELSE low END AS other FROM g JOIN n USING (k)),
+i AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, other ORDER BY s) AS island FROM r)
+SELECT doc_id, min(s) AS start_word, max(s) - min(s) + 50 AS n_words, other AS other_doc_id FROM i GROUP BY doc_id, other, island
+"""
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"))
