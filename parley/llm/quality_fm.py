@@ -2,12 +2,13 @@
 
 score(x) = b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2], which takes time
 linear in the active features. Features are present (1) or absent: every distinct lower-cased word
-hashed to one of 2**18 places, ten statistics of the text's structure in bins, and the metadata
+and beginning of a word (PREFIX bytes) hashed to one of 2**18 places, ten statistics of the text's structure in bins, and the metadata
 (language, source, bin of n_chars), hashed too. Two machines share the features: one for quality, one
-for toxicity. A document is kept if its quality is at least, and its toxicity below, one half.
+for toxicity. A document is kept if its quality is at least, and its toxicity below, a threshold: halfway between one half
+and the score beyond which LOSS of the good training rows lie, but at least one half for quality and at most one half for toxicity.
 
 Both machines are fitted on the driver by Adam on at most TRAIN_ROWS labelled rows, those of the least
-hash of their id. Features in fewer than MIN_DOCS of them, and words whose share of either label is
+hash of their id. Features in fewer than MIN_DOCS of them, and those whose share of a machine's label is
 within MIN_Z standard errors of the average, carry no weight: so thousands of indifferent words in a
 long document don't drown one that tells. Scoring sees every document whole.
 
@@ -36,6 +37,8 @@ TRAIN_ROWS = 20_000
 MIN_DOCS = 5
 MIN_Z = 4.0
 FACTORS = 8
+PREFIX = 4
+LOSS = 0.002
 METADATA = ("lang", "source", "n_chars")
 _PLACES = 1 << BITS
 _CLASSES = np.zeros((6, 256), np.int32)
@@ -98,13 +101,14 @@ def features(text: pa.Array, meta: list[pa.Array], lut: np.ndarray | None = None
         starts, ends, first = textops.words(buf, offsets, punctuation=False)
         h = textops.hashes(buf, starts, ends, lower=True)
         row = np.repeat(np.arange(j - i), np.diff(first))
-        place = (h & np.uint64(_PLACES - 1)).astype(np.int64)
-        key = np.unique(row << BITS | place)
+        begin = textops.mix(textops.hashes(buf, starts, np.minimum(ends, starts + PREFIX), lower=True) ^ np.uint64(0xA5A5))
+        place = (np.concatenate([h, begin]) & np.uint64(_PLACES - 1)).astype(np.int64)
+        key = np.unique(row << BITS | place[: len(h)])
         distinct = np.bincount(key >> BITS, minlength=j - i)
         bins = _structure(buf, offsets, starts, ends, first, h, distinct)
         bins = (textops.mix((bins + 64 * np.arange(1, bins.shape[1] + 1)).astype(np.uint64)) & np.uint64(_PLACES - 1)).astype(np.int64)
         fixed = np.concatenate([bins, metas[i:j]], 1)
-        key = np.unique(np.concatenate([key, (np.arange(j - i)[:, None] << BITS | fixed).ravel()]))
+        key = np.unique(np.concatenate([key, row << BITS | place[len(h) :], (np.arange(j - i)[:, None] << BITS | fixed).ravel()]))
         place = key & (_PLACES - 1)
         if lut is not None:
             place = lut[place]
@@ -135,6 +139,13 @@ def pairwise_score(m: Machine, active: list[int]) -> float:
     return m.b + float(m.w[active].sum()) + sum(float(m.v[a] @ m.v[c]) for k, a in enumerate(active) for c in active[k + 1 :])
 
 
+def _sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows of x, between offsets."""
+    ahead = np.zeros((len(x) + 1, x.shape[1]))
+    np.cumsum(x, axis=0, out=ahead[1:])
+    return ahead[offsets[1:]] - ahead[offsets[:-1]]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -143,7 +154,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, known: int, factors: int = FACTOR
     """Logistic loss by Adam, in batches of 64 rows."""
     rng = np.random.default_rng(seed)
     theta = np.concatenate([np.zeros((known + 1, 1)), rng.normal(0, 0.01, (known + 1, factors))], 1)
-    theta[known] = 0
+    used = np.zeros(known + 1, bool)
+    for r in rows:
+        used[r] = True
+    theta[~used] = 0  # what the machine never saw says nothing
     m, u, b = np.zeros_like(theta), np.zeros_like(theta), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     step = 0
     for _ in range(epochs):
@@ -151,26 +165,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, known: int, factors: int = FACTOR
         for at in range(0, len(order), 64):
             pick = order[at : at + 64]
             size = np.array([len(rows[p]) for p in pick])
-            index = np.concatenate([rows[p] for p in pick])
+            index = np.concatenate([rows[p] for p in pick]).astype(np.int64)
             doc = np.repeat(np.arange(len(pick)), size)
             t = theta[index]
-            s = np.zeros((len(pick), factors + 1))
-            np.add.at(s, doc, t)
+            s = _sums(t, np.concatenate([[0], np.cumsum(size)]))
             sq = np.bincount(doc, (t[:, 1:] ** 2).sum(1), len(pick))
             g = (_sigmoid(b + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - sq)) - y[pick]) / len(pick)
             grad = np.empty_like(t)
             grad[:, 0] = g[doc]
             grad[:, 1:] = g[doc, None] * (s[doc, 1:] - t[:, 1:])
-            ids, back = np.unique(index, return_inverse=True)
-            total = np.zeros((len(ids), factors + 1))
-            np.add.at(total, back, grad)
+            by = np.argsort(index, kind="stable")
+            new = np.flatnonzero(np.diff(index[by], prepend=-1))
+            ids = index[by][new]
+            total = _sums(grad[by], np.append(new, len(by)))
             total += l2 * theta[ids]
             step += 1
             m[ids] = 0.9 * m[ids] + 0.1 * total
             u[ids] = 0.99 * u[ids] + 0.01 * total**2
             theta[ids] -= rate * m[ids] / (np.sqrt(u[ids]) + 1e-6)
             b -= rate * 0.1 * float(g.sum())
-    theta[known] = 0
     return Machine(b, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
@@ -179,6 +192,11 @@ class Model:
     lut: np.ndarray
     quality: Machine | None
     toxic: Machine | None
+    least_quality: float = 0.5
+    most_toxicity: float = 0.5
+
+    def keep(self, s: Column) -> Column:
+        return (s["quality"] >= self.least_quality) & (s["toxicity"] < self.most_toxicity)
 
 
 def _inputs(docs: DataFrame, text: str) -> list[Column]:
@@ -192,20 +210,18 @@ def _codes(*arrays: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def _telling(rows: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
-    """Places of features that are in enough rows and whose share of some label differs from the average."""
+def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Places of features that are in enough rows and whose share of the label differs from the average."""
     if not rows:
         return np.zeros(0, np.int64)
-    z = np.zeros(_PLACES)  # the greater over both labels
-    for y in labels:
-        have = np.flatnonzero(~np.isnan(y))
-        if not len(have) or not 0 < (p := float((y[have] > 0).mean())) < 1:
-            continue
-        index = np.concatenate([rows[i] for i in have])
-        n = np.bincount(index, minlength=_PLACES)
-        k = np.bincount(index, np.repeat((y[have] > 0).astype(float), [len(rows[i]) for i in have]), _PLACES)
-        z = np.maximum(z, np.where(n >= MIN_DOCS, np.abs(k - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p)), 0))
-    return np.flatnonzero(z >= MIN_Z)
+    have = np.flatnonzero(~np.isnan(y))
+    if not len(have) or not 0 < (p := float((y[have] > 0).mean())) < 1:
+        return np.zeros(0, np.int64)
+    index = np.concatenate([rows[i] for i in have])
+    n = np.bincount(index, minlength=_PLACES)
+    k = np.bincount(index, np.repeat((y[have] > 0).astype(float), [len(rows[i]) for i in have]), _PLACES)
+    z = np.abs(k - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+    return np.flatnonzero((n >= MIN_DOCS) & (z >= MIN_Z))
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
@@ -220,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     x = got["x"].combine_chunks().take(pa.array(order)) if len(order) else []
     rows_ = [r.values.to_numpy(zero_copy_only=False) for r in x]
     y2 = {n: got[n].to_numpy(zero_copy_only=False).astype(float)[order] for n in ("q", "t")}
-    known = _telling(rows_, [y2["q"], y2["t"]])
+    telling = {n: _telling(rows_, y) for n, y in y2.items()}
+    known = np.union1d(telling["q"], telling["t"]).astype(np.int64)
     lut = np.full(_PLACES, -1, np.int32)
     lut[known] = np.arange(len(known))
     rows_ = [(k := lut[r])[k >= 0].astype(np.int64) for r in rows_]
@@ -229,9 +246,19 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         y = y2[name]
         have = np.flatnonzero(~np.isnan(y))
         kinds = set(y[have] > 0)
-        return fit([rows_[i] for i in have], (y[have] > 0).astype(float), len(known)) if len(kinds) == 2 else None
+        mine = np.isin(known, telling[name])
+        return fit([rows_[i][mine[rows_[i]]] for i in have], (y[have] > 0).astype(float), len(known)) if len(kinds) == 2 else None
 
-    return Model(lut, machine("q"), machine("t"))
+    model = Model(lut, machine("q"), machine("t"))
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows_])]).astype(np.int64)
+    index = np.concatenate(rows_) if rows_ else np.zeros(0, np.int64)
+    if model.quality:
+        good = _sigmoid(model.quality.score(offsets, index))[y2["q"] > 0]
+        model.least_quality = max(0.5, 0.5 * (0.5 + float(np.quantile(good, LOSS))))
+    if model.toxic:
+        good = _sigmoid(model.toxic.score(offsets, index))[y2["t"] == 0]
+        model.most_toxicity = min(0.5, 0.5 * (0.5 + float(np.quantile(good, 1 - LOSS))))
+    return model
 
 
 def score_arrays(model: Model, text: pa.Array, meta: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,19 +284,17 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> Column:
     return F.arrow_udf(score, "quality double, toxicity double")(*_inputs(docs, text))
 
 
-def keep(s: Column) -> Column:
-    return (s["quality"] >= 0.5) & (s["toxicity"] < 0.5)
-
-
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, quality, toxicity, keep) of every document."""
-    s = docs.select(col(id).alias("doc_id"), scored(docs, train(docs, labels, id, text, rows), text).alias("s"))
-    return s.select("doc_id", F.col("s.quality").alias("quality"), F.col("s.toxicity").alias("toxicity"), keep(F.col("s")).alias("keep"))
+    model = train(docs, labels, id, text, rows)
+    s = docs.select(col(id).alias("doc_id"), scored(docs, model, text).alias("s"))
+    return s.select("doc_id", F.col("s.quality").alias("quality"), F.col("s.toxicity").alias("toxicity"), model.keep(F.col("s")).alias("keep"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that are kept, columns as they were."""
-    return docs.where(keep(scored(docs, train(docs, labels, id, text, rows), text)))
+    model = train(docs, labels, id, text, rows)
+    return docs.where(model.keep(scored(docs, model, text)))
 
 
 def op7_quality_fm(spark, sf_dir: str) -> DataFrame:

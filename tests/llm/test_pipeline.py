@@ -47,7 +47,7 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns and set(after) <= set(before)  # rows as they were
         if k == 0:
             q, t = quality_fm.score_arrays(model, pa.array([r.text for r in before]), [pa.array([r[c] for r in before]) for c in quality_fm.METADATA])
-            assert {r.doc_id for r in after} == {r.doc_id for r, a, b in zip(before, q, t) if a >= 0.5 and b < 0.5} and 0 < len(after) < len(before)
+            assert {r.doc_id for r in after} == {r.doc_id for r, a, b in zip(before, q, t) if a >= model.least_quality and b < model.most_toxicity} and 0 < len(after) < len(before)
         if k == 1:
             first = {}
             for r in sorted(before, key=lambda r: r.doc_id):
