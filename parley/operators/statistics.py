@@ -72,9 +72,12 @@ def tokens(df: DataFrame, pattern: str = T.WORD_TOKENS) -> DataFrame:
 def vocabulary(df: DataFrame, pattern: str = T.WORD_TOKENS, seed: list[str] = SEED_TOKENS) -> DataFrame:
     """(token, idx): the seed tokens, then all others by first appearance."""
     seed = list(dict.fromkeys(seed))
-    first = tokens(df, pattern).groupBy("token").agg(F.min(F.struct("conversation_seq", "pos", "tok")).alias("at"))
-    new = first.where(~F.col("token").isin(seed)) if seed else first
-    new = numbered(new.select("token", "at.conversation_seq", "at.pos", "at.tok"), "conversation_seq", "pos", "tok", name="idx").select("token", (F.col("idx") + len(seed)).cast("long").alias("idx"))
+    found = F.flatten(F.transform("messages", lambda m: F.regexp_extract_all(m["value"], F.lit(pattern), F.lit(0))))
+    own = df.select("conversation_seq", F.posexplode(F.array_distinct(found)).alias("tok", "token"))  # each once, in order
+    new = own.where(~F.col("token").isin(seed)) if seed else own
+    # whole numbers only, so that sums are hashed and combined before the shuffle
+    first = new.groupBy("token").agg(F.min_by("tok", "conversation_seq").alias("tok"), F.min("conversation_seq").alias("conversation_seq"))
+    new = numbered(first, "conversation_seq", "tok", name="idx").select("token", (F.col("idx") + len(seed)).cast("long").alias("idx"))
     spark = df.sparkSession
     return spark.createDataFrame(list(zip(seed, range(len(seed)))), "token string, idx long").unionByName(new) if seed else new
 

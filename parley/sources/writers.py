@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators.filters import sampled
 from ..schema import flat
 
-FIELDS = {"message": "message_id", "conversation": "id", "from": "from", "value": "value", "hash": "hash"}
+FIELDS = ("message", "conversation", "from", "value", "hash")
 
 
 def local(path: str) -> str:
@@ -53,12 +53,17 @@ def csv_rows(df: DataFrame, fields: list[str], ignore_duplicates: bool = False)
     unknown = [f for f in fields if f not in FIELDS]
     if unknown or not fields:
         raise ValueError(f"fields must be of {sorted(FIELDS)}: {fields}")
-    x = flat(df).withColumn("hash", F.xxhash64("from", "value"))
-    rows = x.select("conversation_seq", "pos", csv_line(F.array(*(F.coalesce(F.col(f"`{FIELDS[f]}`").cast("string"), F.lit("")) for f in fields))).alias("line"))
-    if ignore_duplicates:
-        first = rows.groupBy("line").agg(F.min(F.struct("conversation_seq", "pos")).alias("at"))  # combined before the shuffle
-        rows = first.select("at.conversation_seq", "at.pos", "line")
-    return rows
+    def line(m):
+        cells = {"message": m["id"], "conversation": F.col("id"), "from": m["from"], "value": m["value"], "hash": F.xxhash64(m["from"], m["value"])}
+        return csv_line(F.array(*(F.coalesce(cells[f].cast("string"), F.lit("")) for f in fields)))
+
+    lines = df.select("conversation_seq", F.transform("messages", line).alias("lines"))
+    if not ignore_duplicates:
+        return lines.select("conversation_seq", F.posexplode("lines").alias("pos", "line"))
+    own = lines.select("conversation_seq", "lines", F.explode(F.array_distinct("lines")).alias("line"))
+    own = own.select("conversation_seq", "line", (F.array_position("lines", F.col("line")) - 1).cast("int").alias("pos"))
+    first = own.groupBy("line").agg(F.min_by("pos", "conversation_seq").alias("pos"), F.min("conversation_seq").alias("conversation_seq"))  # hashed, and combined before the shuffle
+    return first.select("conversation_seq", "pos", "line")
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str], header: list[str] = (), ignore_duplicates: bool = False, overwrite: bool = False) -> DataFrame:
@@ -147,21 +152,22 @@ def write_text(text: str, path: str, zipped: bool = False) -> None:
 
 
 def distinct_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file, row, line): the first occurrence of each line over all files, in the order given."""
-    parts = [spark.read.text(f).select(F.lit(k).alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")) for k, f in enumerate(files)]
+    """(row, line): the first occurrence of each line over all files, in the order given; row tells the order."""
+    parts = [spark.read.text(f).select(F.col("value").alias("line")) for f in files]
     if not parts:
-        return spark.createDataFrame([], "file int, row long, line string")
+        return spark.createDataFrame([], "row long, line string")
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
-    return rows.groupBy("line").agg(F.min(F.struct("file", "row")).alias("at")).select("at.file", "at.row", "line")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # a union's partitions are those of its parts in order
+    return rows.groupBy("line").agg(F.min("row").alias("row")).select("row", "line")
 
 
 def concatenate(spark: SparkSession, files: list[str], path: str, append: bool = False, ignore_duplicate_lines: bool = False, eol: str = "\n", delete: bool = False) -> None:
     """Files put together byte by byte, or by their distinct lines, each followed by eol."""
     path = local(path)
     if ignore_duplicate_lines:
-        _put(distinct_lines(spark, ["file://" + os.path.abspath(f) for f in files]).orderBy("file", "row"), path, end=eol, append=append)
+        _put(distinct_lines(spark, ["file://" + os.path.abspath(f) for f in files]).orderBy("row"), path, end=eol, append=append)
     else:
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         with open(path, "ab" if append else "wb") as out:
