@@ -41,6 +41,7 @@ PREFIX = 4
 LOSS = 0.002
 METADATA = ("lang", "source", "n_chars")
 _PLACES = 1 << BITS
+_STRETCH = 1 << 16
 _CLASSES = np.zeros((6, 256), np.int32)
 _CLASSES[0, 65:91] = 1  # capitals
 _CLASSES[1, [ord(c) for c in "!?"]] = 1
@@ -126,12 +127,16 @@ class Machine:
 
     def score(self, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
         """Linear in len(index): the pairwise term by the sum-of-squares identity."""
-        w, v = self.w[index], self.v[index]
-        s = np.zeros((len(offsets), v.shape[1] + 2))
-        ahead = np.zeros((len(index) + 1, v.shape[1] + 2))
-        np.cumsum(np.concatenate([v, (v * v).sum(1)[:, None], w[:, None]], 1), axis=0, out=ahead[1:])
-        s = ahead[offsets[1:]] - ahead[offsets[:-1]]
-        return self.b + s[:, -1] + 0.5 * ((s[:, :-2] ** 2).sum(1) - s[:, -2])
+        out = np.empty(len(offsets) - 1)
+        i = 0
+        while i < len(out):  # rows by stretches of bounded size
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _STRETCH, "right")) - 1)
+            at = index[offsets[i] : offsets[j]]
+            w, v = self.w[at], self.v[at]
+            s = _sums(np.concatenate([v, (v * v).sum(1)[:, None], w[:, None]], 1), offsets[i : j + 1] - offsets[i])
+            out[i:j] = self.b + s[:, -1] + 0.5 * ((s[:, :-2] ** 2).sum(1) - s[:, -2])
+            i = j
+        return out
 
 
 def pairwise_score(m: Machine, active: list[int]) -> float:
@@ -203,6 +208,11 @@ def _inputs(docs: DataFrame, text: str) -> list[Column]:
     return [col(text).cast("string"), *(col(c) if c in docs.columns else F.lit(None).cast("string") for c in METADATA)]
 
 
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def _codes(*arrays: pa.Array) -> pa.Array:
     out = []
     for _, offsets, place in features(arrays[0], list(arrays[1:])):
@@ -217,9 +227,11 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     have = np.flatnonzero(~np.isnan(y))
     if not len(have) or not 0 < (p := float((y[have] > 0).mean())) < 1:
         return np.zeros(0, np.int64)
-    index = np.concatenate([rows[i] for i in have])
-    n = np.bincount(index, minlength=_PLACES)
-    k = np.bincount(index, np.repeat((y[have] > 0).astype(float), [len(rows[i]) for i in have]), _PLACES)
+    n, k = np.zeros(_PLACES), np.zeros(_PLACES)
+    for at in range(0, len(have), 500):  # bounds what is copied at once
+        for total, some in ((n, have[at : at + 500]), (k, (part := have[at : at + 500])[y[part] > 0])):
+            if len(some):
+                total += np.bincount(np.concatenate([rows[i] for i in some]), minlength=_PLACES)
     z = np.abs(k - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
     return np.flatnonzero((n >= MIN_DOCS) & (z >= MIN_Z))
 
@@ -233,14 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     codes = F.arrow_udf(_codes, "array<int>")
     got = picked.select("doc_id", "q", "t", codes(*(f"f{k}" for k in range(1 + len(METADATA)))).alias("x")).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = got["x"].combine_chunks().take(pa.array(order)) if len(order) else []
-    rows_ = [r.values.to_numpy(zero_copy_only=False) for r in x]
+    views = [r for c in got["x"].chunks for r in _rows(c)]  # of the Arrow buffers, without a copy
+    rows_ = [views[i] for i in order]
     y2 = {n: got[n].to_numpy(zero_copy_only=False).astype(float)[order] for n in ("q", "t")}
     telling = {n: _telling(rows_, y) for n, y in y2.items()}
     known = np.union1d(telling["q"], telling["t"]).astype(np.int64)
     lut = np.full(_PLACES, -1, np.int32)
     lut[known] = np.arange(len(known))
-    rows_ = [(k := lut[r])[k >= 0].astype(np.int64) for r in rows_]
+    rows_ = [(k := lut[r])[k >= 0] for r in rows_]
+    del views
 
     def machine(name: str) -> Machine | None:
         y = y2[name]
@@ -251,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     model = Model(lut, machine("q"), machine("t"))
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows_])]).astype(np.int64)
-    index = np.concatenate(rows_) if rows_ else np.zeros(0, np.int64)
+    index = np.concatenate(rows_) if rows_ else np.zeros(0, np.int32)
     if model.quality:
         good = _sigmoid(model.quality.score(offsets, index))[y2["q"] > 0]
         model.least_quality = max(0.5, 0.5 * (0.5 + float(np.quantile(good, LOSS))))
