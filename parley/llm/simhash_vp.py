@@ -1,7 +1,8 @@
 """SimHash near-dedup with vantage-point trees.
 
-A document's fingerprint has 128 bits: every distinct lower-cased word votes on each bit by its
-hash. Two documents are near duplicates if their fingerprints differ in at most RADIUS bits and
+A document's fingerprint has 256 bits: every distinct lower-cased word votes on each bit by its
+hash. Two documents are near duplicates if their fingerprints differ in at most RADIUS of the first 128 bits and 2 RADIUS
+of all (the second half keeps chance likenesses of short texts out), and
 their numbers of distinct words are within RATIO of each other. Of equal fingerprints (and sizes) one stands
 for all. The search is exact: every pair that fits is found.
 
@@ -41,19 +42,24 @@ from .components import components
 
 RADIUS = 24
 RATIO = 1.25
-BITS = 128
+BITS = 256
+_SALTS = np.array([0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]  # the bits of a byte, a byte each
 CELL = 1 << 16
 LEAF = 4096
 SAMPLE = 20_000
 BROADCAST_BYTES = 32 << 20
 
 
+_F = tuple(f"f{k}" for k in range(BITS // 64))
+
+
 # Fingerprints -----------------------------------------------------------------------------------
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of 64 bits for each text, and its number of distinct words (0: no fingerprint)."""
-    out, size = np.zeros((len(texts), 2), np.uint64), np.zeros(len(texts), np.int64)
+    """Four words of 64 bits for each text, and its number of distinct words (0: no fingerprint)."""
+    out, size = np.zeros((len(texts), BITS // 64), np.uint64), np.zeros(len(texts), np.int64)
     texts = pc.utf8_lower(texts)
     for i, j in textops.slices(texts, 1 << 18):
         buf, offsets = textops.raw(texts.slice(i, j - i))
@@ -69,15 +75,16 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, row = h[new], row[new]
         n = np.bincount(row, minlength=j - i)
         have = np.flatnonzero(n)
-        at = np.concatenate([[0], np.cumsum(n[have])[:-1]])
+        doc = np.repeat(np.arange(len(have)), n[have])
+        begin = np.repeat(np.cumsum(n[have]) - n[have], n[have])
         ones = np.zeros((len(have), BITS), np.int64)
-        block = 1 << 15  # words whose bits are unpacked at once
+        block = 1 << 14  # words whose bits are spread at once
         for a in range(0, len(h), block):
-            b = min(len(h), a + block)
-            both = np.stack([textops.mix(h[a:b]), textops.mix(h[a:b] ^ np.uint64(0xD6E8FEB86659FD93))], 1)
-            bits = np.unpackbits(both.view(np.uint8).reshape(b - a, 16), axis=1, bitorder="little")
-            lo, hi = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b, "left"))
-            ones[lo:hi] += np.add.reduceat(bits, np.maximum(at[lo:hi] - a, 0), axis=0, dtype=np.int32)
+            d = doc[a : a + block]
+            k = (np.arange(a, a + len(d)) - begin[a : a + len(d)]) // 255  # a lane of eight bits holds as many
+            at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
+            lanes = _LANES[textops.mix(h[a : a + len(d), None] ^ _SALTS).view(np.uint8)]
+            np.add.at(ones, d[at], np.add.reduceat(lanes, at, axis=0).view(np.uint8))
         packed = np.packbits(2 * ones > n[have, None], axis=1, bitorder="little").view(np.uint64)
         out[i + have], size[i + have] = packed, n[have]
     return out, size
@@ -86,11 +93,11 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprint(texts: pa.Array) -> pa.Array:
     f, n = fingerprints(texts)
     f = f.view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(n, pa.int64())], ["f0", "f1", "n"])
+    return pa.StructArray.from_arrays([*(pa.array(f[:, k]) for k in range(BITS // 64)), pa.array(n, pa.int64())], [*_F, "n"])
 
 
 def fingerprint(text: Column) -> Column:
-    return F.arrow_udf(_fingerprint, "f0 long, f1 long, n long")(text)
+    return F.arrow_udf(_fingerprint, ", ".join(f"{c} long" for c in _F) + ", n long")(text)
 
 
 # The tree ---------------------------------------------------------------------------------------
@@ -98,7 +105,7 @@ def fingerprint(text: Column) -> Column:
 
 @dataclass
 class Points:
-    """Fingerprints (n, 2) and logarithms of sizes."""
+    """Fingerprints (n, 4) and logarithms of sizes."""
 
     f: np.ndarray
     s: np.ndarray
@@ -110,7 +117,8 @@ class Points:
         return Points(self.f[i], self.s[i])
 
     def hamming(self, f: np.ndarray) -> np.ndarray:
-        x = self.f ^ f
+        """Over the first half."""
+        x = self.f[:, :2] ^ f[:2]
         return np.bitwise_count(x[:, 0]).astype(np.int16) + np.bitwise_count(x[:, 1])
 
 
@@ -177,7 +185,7 @@ def homes(node: Node, p: Points, idx: np.ndarray, out: np.ndarray) -> None:
 
 
 def search(queries: Points, points: Points, radius: int = RADIUS, delta: float = math.log(RATIO), leaf: int = LEAF):
-    """Batches of (query, point, distance) of all pairs within both radii."""
+    """Batches of (query, point, distance over all bits) of all pairs within both radii and twice the radius over all bits."""
     if not len(queries) or not len(points):
         return
     tree, _ = build(points, leaf, radius, delta)
@@ -198,8 +206,10 @@ def search(queries: Points, points: Points, radius: int = RADIUS, delta: float =
                     e = d[c].astype(np.int16) + np.bitwise_count(f1[x:y][c] ^ queries.f[i, 1])
                     ok = e <= radius
                     if ok.any():
-                        c = c[ok] + x
-                        rows.append(np.full(len(c), i)), cols.append(idx[c]), dist.append(e[ok])
+                        c, e = idx[c[ok] + x], e[ok]
+                        e = e + np.bitwise_count(points.f[c, 2:] ^ queries.f[i, 2:]).sum(1)
+                        ok = e <= 2 * radius
+                        rows.append(np.full(int(ok.sum()), i)), cols.append(c[ok]), dist.append(e[ok])
             if rows:
                 yield np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
@@ -207,23 +217,24 @@ def search(queries: Points, points: Points, radius: int = RADIUS, delta: float =
 # Distributed search -----------------------------------------------------------------------------
 
 
-def _points(f0, f1, s) -> Points:
-    return Points(np.stack([np.asarray(f0), np.asarray(f1)], 1).astype(np.int64).view(np.uint64), np.asarray(s, float))
+def _points(t) -> Points:
+    """Of a frame or table with columns f0 to f3 and s."""
+    return Points(np.stack([np.asarray(t[c]) for c in _F], 1).astype(np.int64).view(np.uint64), np.asarray(t["s"], float))
 
 
 def _routed(points: DataFrame, radius: int, delta: float, shard_points: int) -> tuple[DataFrame, dict[tuple[int, bool], int]]:
-    """node, id, f0, f1, s, shard, home: a row for the home shard and each visit; and the rows of each."""
+    """node, id, f0 to f3, s, shard, home: a row for the home shard and each visit; and the rows of each."""
     spark = points.sparkSession
     n = points.count()
-    sample = points.orderBy(F.xxhash64("node")).limit(SAMPLE).select("f0", "f1", "s").toPandas()
-    tree, _ = build(_points(sample.f0, sample.f1, sample.s), max(64, int(len(sample) * shard_points / max(n, 1))), radius, delta, most=0.5)
+    sample = points.orderBy(F.xxhash64("node")).limit(SAMPLE).select(*_F, "s").toPandas()
+    tree, _ = build(_points(sample), max(64, int(len(sample) * shard_points / max(n, 1))), radius, delta, most=0.5)
     sent = spark.sparkContext.broadcast(tree)
 
     def route(frames):
         for f in frames:
             if not len(f):
                 continue
-            p, home = _points(f.f0, f.f1, f.s), np.zeros(len(f), np.int64)
+            p, home = _points(f), np.zeros(len(f), np.int64)
             homes(sent.value, p, np.arange(len(f)), home)
             yield f.assign(shard=home.astype(np.int32), home=True)
             for node, q in visit(sent.value, p, np.arange(len(f)), radius, delta):
@@ -231,12 +242,12 @@ def _routed(points: DataFrame, radius: int, delta: float, shard_points: int) ->
                 if len(q):
                     yield f.iloc[q].assign(shard=np.int32(node.leaf), home=False)
 
-    out = stored(points.mapInPandas(route, "node long, id long, f0 long, f1 long, s double, shard int, home boolean"), "vp-shards")
+    out = stored(points.mapInPandas(route, points.schema.simpleString().removeprefix("struct<").removesuffix(">") + ", shard int, home boolean"), "vp-shards")
     return out, {(r[0], r[1]): r[2] for r in out.groupBy("shard", "home").count().collect()}
 
 
 def near_pairs(points: DataFrame, radius: int = RADIUS, delta: float = math.log(RATIO), forest: bool = False, cell: int = CELL) -> DataFrame:
-    """(a, b, id_a, id_b, distance) of all pairs of points (node, id, f0, f1, s) within both radii, each once.
+    """(a, b, id_a, id_b, distance) of all pairs of points (node, id, f0 to f3, s) within both radii, each once.
 
     forest: of the pairs that a task finds, only as many as connect what they all connect.
     """
@@ -251,14 +262,14 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, delta: float = math.log(
     met = F.when(F.col("v") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("v") - 1, F.lit(0))), lambda i: F.struct(F.lit(1).alias("k"), i.alias("i"), F.col("c").alias("j"), F.lit(False).alias("a"))))
     out = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.lit(1).alias("k"), F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("a")))
     cells = F.when(home, F.concat(own, F.coalesce(met, F.slice(own, 1, 0)))).otherwise(out)
-    r = r.select("shard", F.explode(cells).alias("x"), "node", "id", "f0", "f1", "s").select("shard", "x.k", "x.i", "x.j", "x.a", "node", "id", "f0", "f1", "s")
+    r = r.select("shard", F.explode(cells).alias("x"), "node", "id", *_F, "s").select("shard", "x.k", "x.i", "x.j", "x.a", "node", "id", *_F, "s")
     kind = "a long, b long, id_a long, id_b long, distance int"
 
     def meet(key, t):
         k, i, j = (key[x].as_py() for x in (1, 2, 3))
         is_a = t["a"].to_numpy(zero_copy_only=False)
         node, ids = t["node"].to_numpy(), t["id"].to_numpy(zero_copy_only=False)
-        p = _points(t["f0"].to_numpy(), t["f1"].to_numpy(), t["s"].to_numpy())
+        p = _points(t)
         self = k == 0 and i == j
         qa = np.arange(len(node)) if self else np.flatnonzero(is_a)
         qb = qa if self else np.flatnonzero(~is_a)
@@ -299,14 +310,14 @@ def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """row, id, f0, f1, n, node of every row that has a fingerprint, in the shared folder."""
+    """row, id, f0 to f3, n, node of every row that has a fingerprint, in the shared folder."""
     ship(docs.sparkSession)
     some = docs.where(col(text).isNotNull()).select(F.xxhash64(col(id), col(text)).alias("row"), col(id).cast("long").alias("id"), fingerprint(col(text)).alias("f"))
-    return stored(some.select("row", "id", "f.f0", "f.f1", "f.n").where("n > 0").withColumn("node", F.xxhash64("f0", "f1", "n")), "simhash")
+    return stored(some.select("row", "id", "f.*").where("n > 0").withColumn("node", F.xxhash64(*_F, "n")), "simhash")
 
 
 def _points_of(prints: DataFrame) -> DataFrame:
-    return stored(prints.groupBy("node", "f0", "f1", "n").agg(F.min("id").alias("id")).select("node", "id", "f0", "f1", F.log("n").alias("s")), "simhash-points")
+    return stored(prints.groupBy("node", *_F, "n").agg(F.min("id").alias("id")).select("node", "id", *_F, F.log("n").alias("s")), "simhash-points")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:

@@ -68,16 +68,16 @@ def test_words_and_hashes():
 
 
 def _pairs(f, n, radius, ratio):
-    return {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if n[i] and n[j] and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= radius and abs(math.log(n[i] / n[j])) <= math.log(ratio) + 1e-12}
+    return {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= radius and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * radius and abs(math.log(n[i] / n[j])) <= math.log(ratio) + 1e-12}
 
 
 @pytest.mark.parametrize("radius", [3, 24])
 def test_tree_search_is_exact(radius):
     rng = np.random.default_rng(0)
-    f = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
+    f = rng.integers(0, 2**63, (600, 4)).astype(np.uint64)
     f[300:] = f[:300]
     for i in range(300, 600):
-        for b in rng.integers(0, 128, rng.integers(0, 8)):
+        for b in rng.integers(0, 256, rng.integers(0, 16)):
             f[i, b // 64] ^= np.uint64(1 << int(b % 64))
     n = rng.integers(10, 1000, 600)
     p = simhash_vp.Points(f, np.log(n))
@@ -111,7 +111,7 @@ def test_near_duplicates(awkward, nothing, documents):
         true = _labels(len(rows), _pairs(f, n, 24, 1.25))
         at = {i: k for k, (i, _) in enumerate(rows)}
         got = [(r.doc_a, r.doc_b, r.distance) for r in simhash_vp.near_duplicates(d).collect()]
-        assert all(a < b and z <= 24 for a, b, z in got) and len(set(got)) == len(got)
+        assert all(a < b and z <= 48 for a, b, z in got) and len(set(got)) == len(got)
         assert _labels(len(rows), [(at[a], at[b]) for a, b, _ in got]) == true
     assert (0, 22) in {x[:2] for x in map(tuple, simhash_vp.near_duplicates(awkward).collect())}
     assert simhash_vp.near_duplicates(nothing).count() == 0
@@ -120,7 +120,7 @@ def test_near_duplicates(awkward, nothing, documents):
 def test_all_pairs_of_distinct_fingerprints_in_small_cells(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
-    p = spark.createDataFrame([(i, i, int(a), int(b), math.log(m)) for i, ((a, b), m) in enumerate(zip(f.view(np.int64), n)) if m], "node long, id long, f0 long, f1 long, s double")
+    p = spark.createDataFrame([(i, i, *map(int, a), math.log(m)) for i, (a, m) in enumerate(zip(f.view(np.int64), n)) if m], "node long, id long, f0 long, f1 long, f2 long, f3 long, s double")
     got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in simhash_vp.near_pairs(p, cell=16).collect())
     assert got == sorted(_pairs(f, n, 24, 1.25))
 

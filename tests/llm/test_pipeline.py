@@ -28,7 +28,7 @@ def _groups(rows):
 
     for i in range(len(rows)):
         for j in range(i + 1, len(rows)):
-            if n[i] and n[j] and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= simhash_vp.RADIUS and abs(math.log(n[i] / n[j])) <= math.log(simhash_vp.RATIO) + 1e-12:
+            if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= simhash_vp.RADIUS and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * simhash_vp.RADIUS and abs(math.log(n[i] / n[j])) <= math.log(simhash_vp.RATIO) + 1e-12:
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
     return {rows[root(i)][0] for i in range(len(rows))}
