@@ -26,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from . import textops
 from .common import col, read, ship
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -116,26 +118,18 @@ def codec(path: str, leaf: int) -> Codec:
     return Codec(path, leaf)
 
 
-def _coder(path: str, leaf: int):
-    def code(texts: pa.Array) -> pa.Array:
-        c, out, ok = codec(path, leaf), [], []
-        for t in texts:
-            t = t.as_py()
-            out.append(np.zeros(0, np.int32) if t is None else c.encode(t))
-            ok.append(None if t is None else c.decode(out[-1]) == t.encode())
-        offsets = np.zeros(len(out) + 1, np.int32)
-        np.cumsum([len(x) for x in out], out=offsets[1:])
-        values = np.concatenate(out) if out else np.zeros(0, np.int32)
-        missing = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
-        tokens = pa.ListArray.from_arrays(pa.array(offsets, mask=missing), pa.array(values))
-        return pa.StructArray.from_arrays([tokens, pa.array(ok, pa.bool_())], ["tokens", "round_trip"])
-
-    return code
-
-
-def encoded(text: Column, path: str = PATH, leaf: int = LEAF) -> Column:
-    """struct<tokens, round_trip>: the tokens of a text, and whether they decode to its very bytes."""
-    return F.arrow_udf(_coder(path, leaf), "tokens array<int>, round_trip boolean")(text)
+def _code(texts: pa.Array, c: Codec) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Tokens, their number, and whether they decode to the text's very bytes."""
+    out, ok = [], []
+    for t in texts:
+        t = t.as_py()
+        out.append(np.zeros(0, np.int32) if t is None else c.encode(t))
+        ok.append(None if t is None else c.decode(out[-1]) == t.encode())
+    n = np.array([len(x) for x in out], np.int32)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    missing = texts.is_null().to_numpy(zero_copy_only=False)
+    tokens = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+    return tokens, pa.array(n, mask=missing), pa.array(ok, pa.bool_())
 
 
 def decoded(tokens: Column, path: str = PATH, leaf: int = LEAF) -> Column:
@@ -149,10 +143,19 @@ def decoded(tokens: Column, path: str = PATH, leaf: int = LEAF) -> Column:
 
 
 def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = PATH, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, tokens, n_tokens, round_trip) of every row."""
+    """(doc_id, tokens, n_tokens, round_trip) of every row; texts are taken a megabyte at a time, whole."""
     ship(docs.sparkSession)
-    e = docs.select(col(id).alias("doc_id"), encoded(col(text), path, leaf).alias("e"))
-    return e.select("doc_id", F.col("e.tokens").alias("tokens"), F.size("e.tokens").alias("n_tokens"), F.col("e.round_trip").alias("round_trip")).withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.col("n_tokens")))
+
+    def code(batches):
+        c = codec(path, leaf)
+        for b in batches:
+            for i, j in textops.slices(b["t"]):
+                part = b.slice(i, j - i)
+                tokens, n, ok = _code(part["t"], c)
+                yield pa.record_batch({"doc_id": part["doc_id"], "tokens": tokens, "n_tokens": n, "round_trip": ok})
+
+    kind = StructType([StructField("doc_id", docs.schema[id].dataType), *StructType.fromDDL("tokens array<int>, n_tokens int, round_trip boolean")])
+    return docs.select(col(id).alias("doc_id"), col(text).cast("string").alias("t")).mapInArrow(code, kind)
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
