@@ -181,41 +181,44 @@ class Model:
             j, y = i, a
         return out[::-1]
 
-    def gradient(self, lattice: Lattice, gold: list[tuple[int, int, int]]):
+    def rows(self, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of weights of all segments' features, one after the other, and where each segment's begin."""
+        get, last = self.index.get, len(self.index)
+        at = np.cumsum([0] + [len(fs) for _, _, fs in lattice.segments])
+        return np.array([get(f, last) for _, _, fs in lattice.segments for f in fs], np.int64), at[:-1]
+
+    def gradient(self, lattice: Lattice, gold: list[tuple[int, int, int]], rows: tuple[np.ndarray, np.ndarray] | None = None):
         """Log-likelihood of the gold labelling and its gradient, by forward and backward sums."""
         n, k = lattice.n, self.k + 1
-        s = self.scores(lattice)
-        ending: dict[int, list[int]] = {}
-        starting: dict[int, list[int]] = {}
-        for x, (i, j, _) in enumerate(lattice.segments):
-            ending.setdefault(j, []).append(x)
-            starting.setdefault(i, []).append(x)
-        a, b = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
-        a[0, 0], b[n] = 0, 0
+        flat, at = rows or self.rows(lattice)
+        s = np.add.reduceat(self.w[flat], at, axis=0) if len(at) else np.zeros((0, self.k))
+        first, end = np.array([x[:2] for x in lattice.segments], np.int64).reshape(-1, 2).T
         lse = np.logaddexp.reduce
-        for j in range(1, n + 1):
-            a[j, 0] = lse(a[j - 1] + self.t[:, 0])
-            for x in ending.get(j, ()):
-                i = lattice.segments[x][0]
-                a[j, 1:] = np.logaddexp(a[j, 1:], lse(a[i][:, None] + self.t[:, 1:], 0) + s[x])
+        a, b, into = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf), np.empty((n + 1, self.k))
+        a[0, 0], b[n] = 0, 0
+        ending = [np.flatnonzero(end == j) for j in range(n + 1)]
+        starting = [np.flatnonzero(first == i) for i in range(n + 1)]
+        for j in range(n + 1):
+            if j:
+                a[j, 0] = lse(a[j - 1] + self.t[:, 0])
+                if len(x := ending[j]):
+                    a[j, 1:] = lse(into[first[x]] + s[x], 0)
+            into[j] = lse(a[j][:, None] + self.t[:, 1:], 0)
         for i in range(n - 1, -1, -1):
             b[i] = self.t[:, 0] + b[i + 1, 0]
-            for x in starting.get(i, ()):
-                j = lattice.segments[x][1]
-                b[i] = np.logaddexp(b[i], lse(self.t[:, 1:] + s[x] + b[j, 1:], 1))
+            if len(x := starting[i]):
+                b[i] = np.logaddexp(b[i], lse(self.t[:, 1:] + lse(s[x] + b[end[x], 1:], 0), 1))
         z = lse(a[n])
         gw, gt = np.zeros_like(self.w), np.zeros_like(self.t)
-        for j in range(1, n + 1):
-            gt[:, 0] -= np.exp(a[j - 1] + self.t[:, 0] + b[j, 0] - z)
-        rows = [[self.index.get(f, len(self.index)) for f in fs] for _, _, fs in lattice.segments]
-        for x, (i, j, _) in enumerate(lattice.segments):
-            p = np.exp(a[i][:, None] + self.t[:, 1:] + s[x] + b[j, 1:] - z)
-            gt[:, 1:] -= p
-            gw[rows[x]] -= p.sum(0)
+        gt[:, 0] -= np.exp(a[:-1] + self.t[:, 0] + b[1:, :1] - z).sum(0)
+        if len(at):
+            p = np.exp(a[first][:, :, None] + self.t[:, 1:] + (s + b[end, 1:])[:, None, :] - z)
+            gt[:, 1:] -= p.sum(0)
+            np.subtract.at(gw, flat, np.repeat(p.sum(1), np.diff(np.append(at, len(flat))), axis=0))
         where = {(i, j): x for x, (i, j, _) in enumerate(lattice.segments)}
-        score, at, y0 = 0.0, 0, 0
+        score, done, y0 = 0.0, 0, 0
         for i, j, y in [*gold, (n, n, 0)]:
-            for _ in range(at, i):
+            for _ in range(done, i):
                 score += self.t[y0, 0]
                 gt[y0, 0] += 1
                 y0 = 0
@@ -223,8 +226,8 @@ class Model:
                 x = where[i, j]
                 score += self.t[y0, y] + s[x][y - 1]
                 gt[y0, y] += 1
-                gw[rows[x], y - 1] += 1
-                y0, at = y, j
+                np.add.at(gw[:, y - 1], flat[at[x] : at[x] + len(lattice.segments[x][2])], 1)
+                y0, done = y, j
         gw[-1] = 0
         return score - z, gw, gt
 
@@ -301,13 +304,14 @@ def train(sentences: int = SENTENCES, epochs: int = 14, seed: int = SEED) -> Mod
                 for f in fs:
                     seen[f] = seen.get(f, 0) + 1
     model = Model({f: n for n, f in enumerate(sorted(f for f, c in seen.items() if c > 1))})
+    data = [(lattice, marks, model.rows(lattice)) for lattice, marks in data]
     hw, ht = np.full_like(model.w, 1e-6), np.full_like(model.t, 1e-6)
     for _ in range(epochs):
         rng.shuffle(data)
         for at in range(0, len(data), 8):
             gw, gt = -1e-3 * model.w, -1e-3 * model.t
-            for lattice, gold in data[at : at + 8]:
-                _, dw, dt = model.gradient(lattice, gold)
+            for lattice, gold, rows in data[at : at + 8]:
+                _, dw, dt = model.gradient(lattice, gold, rows)
                 gw, gt = gw + dw, gt + dt
             hw, ht = hw + gw**2, ht + gt**2
             model.w += 0.3 * gw / np.sqrt(hw)
