@@ -223,6 +223,24 @@ def test_lm_scores(spark, awkward, nothing, documents):
     assert lm_pseudo.score(nothing, lm_pseudo.train(nothing)).count() == 0
 
 
+def test_every_word_has_its_own_count(spark, monkeypatch):
+    """Words beyond the vocabulary and the cache: scores rise with the count of the word over the corpus."""
+    monkeypatch.setattr(lm_pseudo, "VOCABULARY", 40)
+    monkeypatch.setattr(lm_pseudo, "CACHE", 60, raising=False)
+    monkeypatch.setattr(lm_pseudo, "known", lambda distinct: (40, 1), raising=False)
+    common = [f"w{i}th" for i in range(100)]
+    rows = [" ".join(common)] * 30 + ["often1xy"] * 8 + ["seldom2xy"]
+    model = lm_pseudo.train(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    ask = spark.createDataFrame([(1, "often1xy"), (2, "seldom2xy"), (3, "never3xy"), (4, "often1xy often1xy"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_pseudo.score(ask, model).collect()}
+    assert got[1].log_likelihood > got[2].log_likelihood + 1.5 and got[2].log_likelihood > got[3].log_likelihood - 0.5
+    assert got[4].n_words == 2 and got[4].mean_log_likelihood > got[2].mean_log_likelihood + 1 and got[5].log_likelihood is None
+
+
+def test_symbols_grow_with_the_corpus():
+    assert lm_pseudo.known(10**6)[0] > lm_pseudo.VOCABULARY and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
+
+
 # BPE
 
 
