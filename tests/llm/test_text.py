@@ -237,6 +237,43 @@ def test_every_word_has_its_own_count(spark, monkeypatch):
     assert got[4].n_words == 2 and got[4].mean_log_likelihood > got[2].mean_log_likelihood + 1 and got[5].log_likelihood is None
 
 
+def test_words_of_a_class_are_told_apart_by_both_sides():
+    """Two words of one ending and about one count, outside the most frequent: the own term of each is higher between its neighbours."""
+    rng = random.Random(5)
+    filler = [f"f{i}q" for i in range(60)]
+    side = {"onezz": "left", "twozz": "right"}
+    rows = [" ".join([rng.choice(filler), side[w], w, side[w], rng.choice(filler)]) for w in rng.choices(list(side), k=3000)] + [" ".join(filler * 100)] * 20
+    (_, h, ending, first), = list(lm_pseudo._words(pa.array(rows)))
+    u, at, n = np.unique(h, return_index=True, return_counts=True)
+    order = np.argsort(-n)
+    u, e, n = u[order], ending[at[order]], n[order]
+    lex = lm_pseudo.Lexicon.of(u, e, n, np.bincount(e, n, lm_pseudo.CLASSES), np.bincount(e, minlength=lm_pseudo.CLASSES))
+    rest = [np.flatnonzero((lex.cls == lm_pseudo.TOP + k)) for k in range(lm_pseudo.CLASSES)]
+    sample = lm_pseudo.Sample([lex.words[i] for i in rest], [np.exp(lex.inside[i]) for i in rest])
+    t = lm_pseudo.Trainer(lm_pseudo.Net.start(lex.size), 0.1)
+    for _ in range(3):
+        t.all(*lm_pseudo.windows(lex, h, ending, first)[:2], h)
+
+    def own(text):
+        (_, h, ending, first), = list(lm_pseudo._words(pa.array([text])))
+        ctx, cls, inside = lm_pseudo.windows(lex, h, ending, first)
+        assert cls[2] >= lm_pseudo.TOP
+        return (t.net.log_p(ctx, cls, h, sample) + inside)[2]
+
+    assert own("f1q left onezz left f2q") > own("f1q left twozz left f2q") + 1
+    assert own("f1q right twozz right f2q") > own("f1q right onezz right f2q") + 1
+
+
+def test_priority_sample_stands_for_its_class(spark):
+    words = [(i * 7919 + 1, i % 3, 1 + 2000 // (i + 1)) for i in range(6000)]
+    counts = spark.createDataFrame(words, "word long, ending long, n long")
+    lex, _, _ = lm_pseudo.lexicon(counts)
+    s = lm_pseudo.sampled(counts, lex)
+    for k in range(3):
+        assert len(s.words[k]) == lm_pseudo.PARTITION and 0.6 < s.weights[k].sum() < 1.6
+    assert not set(s.words[0]) & set(lex.words[: lm_pseudo.TOP])
+
+
 def test_symbols_grow_with_the_corpus():
     assert lm_pseudo.known(10**6)[0] > lm_pseudo.VOCABULARY and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
 
