@@ -4,7 +4,7 @@ A document's fingerprint has 256 bits: every distinct lower-cased word votes on
 hash. Two documents are near duplicates if their fingerprints differ in at most RADIUS of the first 128 bits and 2 RADIUS
 of all (the second half keeps chance likenesses of short texts out), and
 their numbers of distinct words are within RATIO of each other. Of equal fingerprints (and sizes) one stands
-for all. The search is exact: every pair that fits is found.
+for all in the search; what it finds is given for all of them, and every pair of them. The search is exact: every pair of rows that fits is found.
 
 A vantage-point tree splits points at the median of their Hamming distance to a vantage point or of
 their log size (the other pseudo-metric), whichever leaves fewer points near the boundary. A query
@@ -321,13 +321,17 @@ def _points_of(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(doc_a, doc_b, distance): all near pairs of distinct fingerprints, each by the least id that has it, and the pair of that id with each other id of the fingerprint."""
+    """(doc_a, doc_b, distance): all near pairs of rows, those of equal fingerprints too; the least distance of ids that stand at several texts."""
     prints = _prints(docs, id, text).where("id is not null")
     points = _points_of(prints)
-    pairs = near_pairs(points, radius, math.log(ratio)).select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "distance")
-    least = prints.withColumn("first", F.min("id").over(Window.partitionBy("node")))
-    same = least.select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(0).alias("distance"))
-    return pairs.unionByName(same.distinct()).where("doc_a < doc_b")
+    members = stored(prints.select("node", "id").distinct(), "simhash-members")
+    pairs = near_pairs(points, radius, math.log(ratio)).select("a", "b", "distance")
+    left, right = members.select(F.col("node").alias("a"), F.col("id").alias("x")), members.select(F.col("node").alias("b"), F.col("id").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("x", "y", "distance").where("x <> y")
+    same = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(0).alias("distance"))
+    out = met.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "distance")
+    rows, ids = members.agg(F.count("*"), F.count_distinct("id")).first()
+    return out if rows == ids else out.groupBy("doc_a", "doc_b").agg(F.min("distance").alias("distance"))
 
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:

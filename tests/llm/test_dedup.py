@@ -117,6 +117,20 @@ def test_near_duplicates(awkward, nothing, documents):
     assert simhash_vp.near_duplicates(nothing).count() == 0
 
 
+def test_all_pairs_of_rows(spark, documents):
+    """Copies of copies too: two equal texts near two others make six pairs."""
+    words = [f"word{i}" for i in range(200)]
+    one, two = " ".join(words), " ".join(["changed", *words[1:]])
+    few = spark.createDataFrame([(1, one), (2, one), (3, two), (4, two), (2, one)], "doc_id long, text string")
+    for d in (few, documents):
+        rows = sorted({(r.doc_id, r.text) for r in d.collect()})
+        f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
+        true = sorted(tuple(sorted((rows[i][0], rows[j][0]))) for i, j in _pairs(f, n, 24, 1.25))
+        got = sorted((r.doc_a, r.doc_b) for r in simhash_vp.near_duplicates(d).collect())
+        assert got == true and len(set(got)) == len(got)
+        assert d is documents or len(got) == 6
+
+
 def test_all_pairs_of_distinct_fingerprints_in_small_cells(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
