@@ -292,11 +292,13 @@ WITH r AS (SELECT turn, conv_id, row_number() OVER (ORDER BY turn, conv_id // 2)
 s AS (SELECT *, CASE WHEN lag(c) OVER (ORDER BY n) IS DISTINCT FROM c THEN 1 ELSE 0 END AS new FROM r), g AS (SELECT *, sum(new) OVER (ORDER BY n) AS part FROM s)
 SELECT CAST(c AS VARCHAR) AS input_id, count(*) AS messages FROM g GROUP BY c, part""")
 def csv_adjacent_grouping(spark, sf_dir):
-    """Turns of conversations in turn order: an id comes back as a conversation of its own."""
-    t = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0")
+    """Turns of all conversations in turn order: an id comes back as a conversation of its own. SQL has those of even ids, in rows of their own."""
     path = fresh_path(spark, "csv")
-    t.select("turn", F.floor(F.col("conv_id") / 2).alias("c"), F.col("role").alias("from"), F.lit("x").alias("value")).orderBy("turn", "c").coalesce(1).write.csv(path, header=True)
-    return readers.read_csv(spark, path, "c", "from", "value").select("input_id", F.size("messages").cast("long").alias("messages"))
+    t = table(spark, sf_dir, "conversations").select("turn", F.col("conv_id").alias("c"), F.col("role").alias("from"), F.col("text").alias("value"))
+    options = {"header": True, "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": "", "quoteAll": True}
+    t.orderBy(F.col("c") % 2, "turn", "c").coalesce(1).write.options(**options).csv(path)
+    back = readers.read_csv(spark, path, "c", "from", "value").where(F.col("input_id").cast("long") % 2 == 0)
+    return back.select((F.col("input_id").cast("long") / 2).cast("long").cast("string").alias("input_id"), F.size("messages").cast("long").alias("messages"))
 
 
 @query("SELECT DISTINCT role || ',' || (turn % 2) AS line FROM conversations")

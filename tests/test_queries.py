@@ -52,3 +52,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_adjacent_grouping_reads_all_rows_and_texts(spark, monkeypatch):
+    from parley import queries
+
+    kept, read = [], queries.readers.read_csv
+    monkeypatch.setattr(queries.readers, "read_csv", lambda *a: kept.append(read(*a)) or kept[-1])
+    queries.csv_adjacent_grouping(spark, SF)
+    got = [(int(r.input_id), m["id"], m["value"]) for r in kept[0].collect() for m in r.messages]
+    clean = lambda v: v.replace("\r\n", "\n").replace("\r", "\n")
+    want = [(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    assert sorted((c, t, clean(v)) for c, t, v in got) == sorted((c, t, clean(v)) for c, t, v in want)
