@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, ship, stored
+from ..storage import drop, shared_dir, ship, stored, stored_at
 
-__all__ = ["col", "fresh", "partitions", "read", "shared_dir", "ship", "small", "stored", "whole_groups"]
+__all__ = ["col", "drop", "fresh", "partitions", "read", "rest_hash", "shared_dir", "ship", "small", "stored", "stored_at", "whole_groups"]
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -29,6 +29,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def rest_hash(df: DataFrame, *but: str) -> Column:
+    """A hash of all columns but those named: a tie order that doesn't depend on how rows lie. Maps and variants count by their JSON."""
+    rest = [F.to_json(F.struct(col(c).alias("x"))) if "map<" in kind or "variant" in kind else col(c) for c, kind in df.dtypes if c not in but]
+    return F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit; else Spark joins by shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -2,51 +2,51 @@
 
 A document's fingerprint has 256 bits: every distinct lower-cased word votes on each bit by its
 hash. Two documents are near duplicates if their fingerprints differ in at most RADIUS of the first 128 bits and 2 RADIUS
-of all (the second half keeps chance likenesses of short texts out), and
-their numbers of distinct words are within RATIO of each other. Of equal fingerprints (and sizes) one stands
-for all in the search; what it finds is given for all of them, and every pair of them. The search is exact: every pair of rows that fits is found.
+of all (the second half keeps chance likenesses of short texts out). Of equal fingerprints one point, with their number for
+its weight, stands for all in the search. The search is exact: every pair of points that fits is found, and counted where it
+is found; what a task returns is a row for each point with partners (their weight, and the group that the task saw it in),
+so results grow with the documents, not with the pairs.
 
-A vantage-point tree splits points at the median of their Hamming distance to a vantage point or of
-their log size (the other pseudo-metric), whichever leaves fewer points near the boundary. A query
+A vantage-point tree splits points by their Hamming distance to a vantage point, at a distance that leaves few points near the boundary. A query
 of some radius is kept out of a child where the triangle inequality bounds rule it out, else it
 visits both. The top of the tree, built on the driver from a bounded sample that steers balance
 only, deals points to shards: each point has a home, and visits the shards of higher number that
-its ball overlaps. Big shards are cut into cells of blocks against blocks; each task builds
+its ball overlaps. Big shards are cut into cells of blocks against blocks, one task each; a task builds
 the tree below for its block and sends its queries down it.
 
 At a radius this wide against the spread of distances (about 64 +- 6 bits between unrelated texts)
-bounds on Hamming distance seldom prune and sizes do most of it, so time grows with the square of the
-number of distinct fingerprints of like size; see the README for figures.
+bounds seldom prune, so time grows with the square of the number of distinct fingerprints; see the README for figures.
 
-Defined cases. A null text, or one without words, has no fingerprint and no duplicates. Null ids:
-such rows are in no pair; in without_near_duplicates they count like others, last. Repeated rows
-are duplicates of each other there, and one stays; a pair of rows with one id is not reported.
+Defined cases. A null text, or one without words (empty, white space, punctuation), has no fingerprint: it is a class of its own, without links, and
+always stays. Texts of any length are taken whole. Ids may be of any type that has an order; ids are compared as they are. Null ids:
+such rows count like others, and come last among their class. Repeated rows
+are duplicates of each other: in near_classes each is listed and counts as a link; in without_near_duplicates one stays, and of
+rows alike in id and text that with the least hash of the other columns (rows alike in all: any). Ties: a class is named by its least id.
 An empty table gives an empty result. Columns of any name are left alone.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import col, fresh, read, ship, small, stored
-from .components import components
+from .common import col, fresh, read, rest_hash, ship, small, stored
+from .components import Links, classes
 
 RADIUS = 24
-RATIO = 1.25
 BITS = 256
 _SALTS = np.array([0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]  # the bits of a byte, a byte each
-CELL = 1 << 16
-LEAF = 4096
+#: Points of a block: so many that a point goes to COPIES cells, but within these bounds.
+CELL = (1 << 15, 1 << 20)
+COPIES = 16
+STRETCH = 1 << 14
 SAMPLE = 20_000
 BROADCAST_BYTES = 32 << 20
 
@@ -103,28 +103,9 @@ def fingerprint(text: Column) -> Column:
 # The tree ---------------------------------------------------------------------------------------
 
 
-@dataclass
-class Points:
-    """Fingerprints (n, 4) and logarithms of sizes."""
-
-    f: np.ndarray
-    s: np.ndarray
-
-    def __len__(self) -> int:
-        return len(self.s)
-
-    def at(self, i) -> Points:
-        return Points(self.f[i], self.s[i])
-
-    def hamming(self, f: np.ndarray) -> np.ndarray:
-        """Over the first half."""
-        x = self.f[:, :2] ^ f[:2]
-        return np.bitwise_count(x[:, 0]).astype(np.int16) + np.bitwise_count(x[:, 1])
-
-
 @dataclass
 class Node:
-    """A leaf with its number and points, or a split at mid: by Hamming distance to vantage, or by size where that is None."""
+    """A leaf with its number and points, or a split at mid by Hamming distance to vantage."""
 
     leaf: int = -1
     points: np.ndarray | None = None
@@ -133,224 +114,213 @@ class Node:
     low: Node | None = None
     high: Node | None = None
 
-    def measure(self, p: Points) -> np.ndarray:
-        return p.s if self.vantage is None else p.hamming(self.vantage)
 
+def hamming(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Over the first half."""
+    x = f[:, :2] ^ g[:2]
+    return np.bitwise_count(x[:, 0]).astype(np.int16) + np.bitwise_count(x[:, 1])
 
-def build(p: Points, leaf: int, radius: int = RADIUS, delta: float = math.log(RATIO), most: float = 0.9, seed: int = 5) -> tuple[Node, int]:
-    """The tree over p, and its number of leaves. A node whose best split leaves more than the share `most` near the boundary is a leaf."""
+
+def build(f: np.ndarray, leaf: int, radius: int = RADIUS, most: float = 0.9, seed: int = 5) -> tuple[Node, int]:
+    """The tree over fingerprints, and its number of leaves. A node whose best split leaves more than the share `most` near the boundary is a leaf."""
     rng = np.random.default_rng(seed)
     count = 0
 
     def grow(idx: np.ndarray) -> Node:
         nonlocal count
         if len(idx) > leaf:
-            best, sub = None, p.at(idx)
-            some = sub if len(sub) <= 2000 else sub.at(rng.choice(len(sub), 2000, replace=False))
-            for vantage in [None, *(sub.f[i] for i in rng.choice(len(sub), min(4, len(sub)), replace=False))]:
-                d, r = (some.s, delta) if vantage is None else (some.hamming(vantage), radius)
-                mid = float(np.median(d))
-                near = float((np.abs(d - mid) <= r).mean())
-                if best is None or near < best[0]:
-                    best = (near, vantage, mid)
-            node = Node(vantage=best[1], mid=best[2])
-            under = node.measure(sub) < node.mid
-            if best[0] <= most and 0 < under.sum() < len(idx):
-                node.low, node.high = grow(idx[under]), grow(idx[~under])
-                return node
+            best, some = None, f[idx if len(idx) <= 2000 else rng.choice(idx, 2000, replace=False)]
+            for vantage in f[rng.choice(idx, 6, replace=False)] if len(idx) >= 6 else f[idx]:
+                d = hamming(some, vantage)
+                for mid in np.unique(np.quantile(d, [0.1, 0.2, 0.35, 0.5, 0.65])) + 0.5:  # a low one may cut off a crowd about the vantage point
+                    near, under = float((np.abs(d - mid) <= radius).mean()), float((d < mid).mean())
+                    if 0.05 <= under <= 0.95 and (best is None or near < best[0]):
+                        best = (near, vantage, float(mid))
+            if best is not None and best[0] <= most:
+                under = hamming(f[idx], best[1]) < best[2]
+                if 0 < under.sum() < len(idx):
+                    return Node(vantage=best[1], mid=best[2], low=grow(idx[under]), high=grow(idx[~under]))
         count += 1
         return Node(leaf=count - 1, points=idx)
 
-    return grow(np.arange(len(p))), count
+    return grow(np.arange(len(f))), count
 
 
-def visit(node: Node, p: Points, idx: np.ndarray, radius: int, delta: float):
+def visit(node: Node, f: np.ndarray, idx: np.ndarray, radius: int):
     """(leaf, queries that its region may answer), by triangle bounds."""
     if node.leaf >= 0:
         yield node, idx
         return
-    d, r = node.measure(p.at(idx)), (delta if node.vantage is None else radius)
-    for child, take in ((node.low, d - r < node.mid), (node.high, d + r >= node.mid)):
+    d = hamming(f[idx], node.vantage)
+    for child, take in ((node.low, d - radius < node.mid), (node.high, d + radius >= node.mid)):
         if take.any():
-            yield from visit(child, p, idx[take], radius, delta)
+            yield from visit(child, f, idx[take], radius)
 
 
-def homes(node: Node, p: Points, idx: np.ndarray, out: np.ndarray) -> None:
+def homes(node: Node, f: np.ndarray, idx: np.ndarray, out: np.ndarray) -> None:
     if node.leaf >= 0:
         out[idx] = node.leaf
         return
-    under = node.measure(p.at(idx)) < node.mid
-    homes(node.low, p, idx[under], out)
-    homes(node.high, p, idx[~under], out)
+    under = hamming(f[idx], node.vantage) < node.mid
+    homes(node.low, f, idx[under], out)
+    homes(node.high, f, idx[~under], out)
 
 
-def search(queries: Points, points: Points, radius: int = RADIUS, delta: float = math.log(RATIO), leaf: int = LEAF):
-    """Batches of (query, point, distance over all bits) of all pairs within both radii and twice the radius over all bits."""
+def search(queries: np.ndarray, points: np.ndarray | None = None, radius: int = RADIUS, leaf: int = STRETCH):
+    """(query, points, distances over all bits) for every query that has points within both radii; without points, each pair of queries once."""
+    own = points is None
+    points = queries if own else points
     if not len(queries) or not len(points):
         return
-    tree, _ = build(points, leaf, radius, delta)
-    for node, q in visit(tree, queries, np.arange(len(queries)), radius, delta):
-        idx = node.points[np.argsort(points.s[node.points], kind="stable")]
-        q = q[np.argsort(queries.s[q], kind="stable")]
-        s = points.s[idx]
-        f0, f1 = points.f[idx, 0].copy(), points.f[idx, 1].copy()
-        lo, hi = np.searchsorted(s, queries.s[q] - delta, "left"), np.searchsorted(s, queries.s[q] + delta, "right")
-        for at in range(0, len(idx), LEAF):  # a stretch of points stays in the CPU's cache for all queries
-            a, b = np.maximum(lo, at), np.minimum(hi, at + LEAF)
-            rows, cols, dist = [], [], []
-            for k in np.flatnonzero(b > a):
-                x, y, i = a[k], b[k], q[k]
-                d = np.bitwise_count(f0[x:y] ^ queries.f[i, 0])
-                c = np.flatnonzero(d <= radius)
-                if len(c):
-                    e = d[c].astype(np.int16) + np.bitwise_count(f1[x:y][c] ^ queries.f[i, 1])
-                    ok = e <= radius
+    tree, _ = build(points, leaf, radius)
+    x, d, e = np.empty(STRETCH, np.uint64), np.empty(STRETCH, np.uint8), np.empty(STRETCH, np.uint8)
+    for node, q in visit(tree, queries, np.arange(len(queries)), radius):
+        idx = np.sort(node.points)
+        f0, f1 = points[idx, 0].copy(), points[idx, 1].copy()
+        for at in range(0, len(idx), STRETCH):  # a stretch of points stays in the CPU's cache for all queries
+            stop = min(len(idx), at + STRETCH)
+            first = np.maximum(np.searchsorted(idx, q, "right"), at) if own else np.full(len(q), at)
+            for k in np.flatnonzero(first < stop):
+                a, i = int(first[k]), int(q[k])
+                n = stop - a
+                y, u, v = x[:n], d[:n], e[:n]
+                np.bitwise_xor(f0[a:stop], queries[i, 0], out=y)
+                np.bitwise_count(y, out=u)
+                np.bitwise_xor(f1[a:stop], queries[i, 1], out=y)
+                np.bitwise_count(y, out=v)
+                np.add(u, v, out=u)
+                if u.min() <= radius:
+                    c = np.flatnonzero(u <= radius)
+                    far = u[c].astype(np.int64) + np.bitwise_count(points[idx[a + c], 2:] ^ queries[i, 2:]).sum(1)
+                    ok = far <= 2 * radius
                     if ok.any():
-                        c, e = idx[c[ok] + x], e[ok]
-                        e = e + np.bitwise_count(points.f[c, 2:] ^ queries.f[i, 2:]).sum(1)
-                        ok = e <= 2 * radius
-                        rows.append(np.full(int(ok.sum()), i)), cols.append(c[ok]), dist.append(e[ok])
-            if rows:
-                yield np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+                        yield i, idx[a + c[ok]], far[ok]
 
 
 # Distributed search -----------------------------------------------------------------------------
 
 
-def _points(t) -> Points:
-    """Of a frame or table with columns f0 to f3 and s."""
-    return Points(np.stack([np.asarray(t[c]) for c in _F], 1).astype(np.int64).view(np.uint64), np.asarray(t["s"], float))
+def _prints_of(t) -> np.ndarray:
+    return np.stack([np.asarray(t[c]) for c in _F], 1).astype(np.int64).view(np.uint64)
 
 
-def _routed(points: DataFrame, radius: int, delta: float, shard_points: int) -> tuple[DataFrame, dict[tuple[int, bool], int]]:
-    """node, id, f0 to f3, s, shard, home: a row for the home shard and each visit; and the rows of each."""
+def _routed(points: DataFrame, n: int, radius: int, shard_points: int) -> tuple[DataFrame, dict[tuple[int, bool], int]]:
+    """node, f0 to f3, w, shard, home: a row for the home shard and each visit; and the rows of each."""
     spark = points.sparkSession
-    n = points.count()
-    sample = points.orderBy(F.xxhash64("node")).limit(SAMPLE).select(*_F, "s").toPandas()
-    tree, _ = build(_points(sample), max(64, int(len(sample) * shard_points / max(n, 1))), radius, delta, most=0.5)
+    sample = points.orderBy(F.xxhash64(*_F), *_F).limit(SAMPLE).select(*_F).toPandas()
+    tree, _ = build(_prints_of(sample), max(64, int(len(sample) * shard_points / max(n, 1))), radius, most=0.5)
     sent = spark.sparkContext.broadcast(tree)
 
     def route(frames):
         for f in frames:
             if not len(f):
                 continue
-            p, home = _points(f), np.zeros(len(f), np.int64)
+            p, home = _prints_of(f), np.zeros(len(f), np.int64)
             homes(sent.value, p, np.arange(len(f)), home)
             yield f.assign(shard=home.astype(np.int32), home=True)
-            for node, q in visit(sent.value, p, np.arange(len(f)), radius, delta):
+            for node, q in visit(sent.value, p, np.arange(len(f)), radius):
                 q = q[home[q] < node.leaf]
                 if len(q):
                     yield f.iloc[q].assign(shard=np.int32(node.leaf), home=False)
 
-    out = stored(points.mapInPandas(route, points.schema.simpleString().removeprefix("struct<").removesuffix(">") + ", shard int, home boolean"), "vp-shards")
+    some = points.select("node", *_F, "w")
+    out = stored(some.mapInPandas(route, "node long, " + ", ".join(f"{c} long" for c in _F) + ", w long, shard int, home boolean"), "vp-shards")
     return out, {(r[0], r[1]): r[2] for r in out.groupBy("shard", "home").count().collect()}
 
 
-def near_pairs(points: DataFrame, radius: int = RADIUS, delta: float = math.log(RATIO), forest: bool = False, cell: int = CELL) -> DataFrame:
-    """(a, b, id_a, id_b, distance) of all pairs of points (node, id, f0 to f3, s) within both radii, each once.
-
-    forest: of the pairs that a task finds, only as many as connect what they all connect.
-    """
-    routed, counts = _routed(points, radius, delta, cell)
-    home, guests = F.col("home"), {}
-    blocks = {s: -(-counts.get((s, True), 0) // cell) for s, _ in counts}
-    visits = {s: -(-counts.get((s, False), 0) // cell) for s, _ in counts}
-    table = points.sparkSession.createDataFrame([(s, max(1, blocks[s]), max(0, visits[s])) for s in blocks], "shard int, m int, v int")  # a row for each shard
-    r = routed.join(F.broadcast(table), "shard").withColumn("c", F.pmod(F.xxhash64("node"), F.when(home, F.col("m")).otherwise(F.col("v"))).cast("int"))
-    # home blocks i <= j meet in cell (0, i, j); a block i of guests and the home block j in (1, i, j)
-    own = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.lit(0).alias("k"), F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), (F.col("c") <= j).alias("a")))
-    met = F.when(F.col("v") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("v") - 1, F.lit(0))), lambda i: F.struct(F.lit(1).alias("k"), i.alias("i"), F.col("c").alias("j"), F.lit(False).alias("a"))))
-    out = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.lit(1).alias("k"), F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("a")))
-    cells = F.when(home, F.concat(own, F.coalesce(met, F.slice(own, 1, 0)))).otherwise(out)
-    r = r.select("shard", F.explode(cells).alias("x"), "node", "id", *_F, "s").select("shard", "x.k", "x.i", "x.j", "x.a", "node", "id", *_F, "s")
-    kind = "a long, b long, id_a long, id_b long, distance int"
-
-    def meet(key, t):
-        k, i, j = (key[x].as_py() for x in (1, 2, 3))
-        is_a = t["a"].to_numpy(zero_copy_only=False)
-        node, ids = t["node"].to_numpy(), t["id"].to_numpy(zero_copy_only=False)
-        p = _points(t)
-        self = k == 0 and i == j
-        qa = np.arange(len(node)) if self else np.flatnonzero(is_a)
-        qb = qa if self else np.flatnonzero(~is_a)
-        label = np.arange(len(node))
-        got = []
-        for x, y, d in search(p.at(qa), p.at(qb), radius, delta):
-            x, y = qa[x], qb[y]
-            if self:
-                once = x < y
-                x, y, d = x[once], y[once], d[once]
-            if forest:
-                new = _forest(label, x, y)
-                x, y, d = x[new], y[new], d[new]
-            got.append((x, y, d))
-        x, y, d = (np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(3))
-        x, y = x.astype(np.int64), y.astype(np.int64)
-        return pa.table({"a": node[x], "b": node[y], "id_a": pa.array(ids[x], pa.int64(), from_pandas=True), "id_b": pa.array(ids[y], pa.int64(), from_pandas=True), "distance": d.astype(np.int32)})
-
-    return r.groupBy("shard", "k", "i", "j").applyInArrow(meet, kind)
-
-
-def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Indices of pairs that join two components; label (a union-find array) is brought up to date."""
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    keep = []
-    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-        i, j = root(i), root(j)
-        if i != j:
-            label[max(i, j)] = min(i, j)
-            keep.append(k)
-    return np.array(keep, np.int64)
+def near_points(points: DataFrame, radius: int = RADIUS, cell: int | None = None) -> DataFrame:
+    """(a, b, n) of points (node, f0 to f3, w) that have others within both radii: b is in a's group, n the weight of the partners that a task saw."""
+    spark, n = points.sparkSession, points.count()
+    cell = cell or min(max(CELL[0], -(-n // COPIES)), CELL[1])
+    routed, counts = _routed(points, n, radius, cell)
+    shards, base = [], 0
+    for s in sorted({s for s, _ in counts}):
+        m, v = max(1, -(-counts.get((s, True), 0) // cell)), -(-counts.get((s, False), 0) // cell)
+        shards.append((s, m, v, base))
+        base += m * (m + 1) // 2 + v * m
+    if not shards:
+        return spark.createDataFrame([], "a long, b long, n long")
+    home = F.col("home")
+    r = routed.join(F.broadcast(spark.createDataFrame(shards, "shard int, m int, v int, base int")), "shard")  # a row for each shard
+    r = r.withColumn("c", F.pmod(F.xxhash64("node"), F.when(home, F.col("m")).otherwise(F.col("v"))).cast("int"))
+    # home blocks i <= j meet in a cell, and each block of guests meets each home block in one
+    pair = lambda i, j: (F.col("base") + i * F.col("m") - (i * (i - 1) / 2).cast("int") + (j - i)).cast("int")
+    guest = lambda i, j: (F.col("base") + (F.col("m") * (F.col("m") + 1) / 2).cast("int") + i * F.col("m") + j).cast("int")
+    side = lambda at, left, own: F.struct(at.alias("cell"), left.alias("left"), F.lit(own).alias("own"))
+    c, blocks = F.col("c"), F.sequence(F.lit(0), F.col("m") - 1)
+    own = F.transform(blocks, lambda j: side(pair(F.least(c, j), F.greatest(c, j)), c <= j, True))
+    met = F.transform(F.sequence(F.lit(0), F.greatest(F.col("v") - 1, F.lit(0))), lambda i: side(guest(i, c), F.lit(False), False))
+    out = F.transform(blocks, lambda j: side(guest(c, j), F.lit(True), False))
+    cells = F.when(home & (F.col("v") > 0), F.concat(own, met)).when(home, own).otherwise(out)
+    r = r.select(F.explode(cells).alias("x"), "node", *_F, "w").select("x.cell", "x.left", "x.own", "node", *_F, "w")
+
+    def meet(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        left, node, f = t["left"].to_numpy(zero_copy_only=False), t["node"].to_numpy(), _prints_of(t)
+        links = Links(t["w"].to_numpy())
+        if left.all() and t["own"][0].as_py():  # a block and itself
+            for i, c, _ in search(f, None, radius):
+                links.add(i, c)
+        else:
+            a, b = np.flatnonzero(left), np.flatnonzero(~left)
+            for i, c, _ in search(f[a], f[b], radius):
+                links.add(int(a[i]), b[c])
+        at, group, n = links.found()
+        yield pa.record_batch({"a": node[at], "b": node[group], "n": n})
+
+    return r.repartitionById(base, F.col("cell")).mapInArrow(meet, "a long, b long, n long")  # a partition is a cell
 
 
 def _prints(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """row, id, f0 to f3, n, node of every row that has a fingerprint, in the shared folder."""
+    """id, h (of the text), f0 to f3 and n (0: no fingerprint) of every row, in the shared folder."""
     ship(docs.sparkSession)
-    some = docs.where(col(text).isNotNull()).select(F.xxhash64(col(id), col(text)).alias("row"), col(id).cast("long").alias("id"), fingerprint(col(text)).alias("f"))
-    return stored(some.select("row", "id", "f.*").where("n > 0").withColumn("node", F.xxhash64(*_F, "n")), "simhash")
+    some = docs.select(col(id).alias("id"), F.xxhash64(col(text).cast("string")).alias("h"), fingerprint(col(text).cast("string")).alias("f"))
+    return stored(some.select("id", "h", "f.*"), "simhash")
 
 
-def _points_of(prints: DataFrame) -> DataFrame:
-    return stored(prints.groupBy("node", *_F, "n").agg(F.min("id").alias("id")).select("node", "id", *_F, F.log("n").alias("s")), "simhash-points")
+def _classed(prints: DataFrame, radius: int, cell: int | None) -> DataFrame:
+    """f0 to f3, class (the least of no id, id, h among rows alike or near) and links of every fingerprint that has two rows or a partner."""
+    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("best")
+    points = prints.where("n > 0").groupBy(*_F).agg(least, F.count("*").alias("w"))
+    points = stored(points.withColumn("node", F.monotonically_increasing_id()), "simhash-points")
+    return stored(classes(points, near_points(points, radius, cell)).where("links > 0").select(*_F, "class", "links"), "simhash-classes")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(doc_a, doc_b, distance): all near pairs of rows, those of equal fingerprints too; the least distance of ids that stand at several texts."""
-    prints = _prints(docs, id, text).where("id is not null")
-    points = _points_of(prints)
-    members = stored(prints.select("node", "id").distinct(), "simhash-members")
-    pairs = near_pairs(points, radius, math.log(ratio)).select("a", "b", "distance")
-    left, right = members.select(F.col("node").alias("a"), F.col("id").alias("x")), members.select(F.col("node").alias("b"), F.col("id").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("x", "y", "distance").where("x <> y")
-    same = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(0).alias("distance"))
-    out = met.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "distance")
-    rows, ids = members.agg(F.count("*"), F.count_distinct("id")).first()
-    return out if rows == ids else out.groupBy("doc_a", "doc_b").agg(F.min("distance").alias("distance"))
+def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, cell: int | None = None) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the least id of the class of near duplicates it is in (those that chains of near pairs connect),
+    and the number of other rows within the radius of this one, copies among them."""
+    prints = _prints(docs, id, text)
+    found = _classed(prints, radius, cell)
+    rows = prints.join(small(found, found.count(), 96, BROADCAST_BYTES), list(_F), "left")
+    return rows.select(F.col("id").alias("doc_id"), F.when(F.col("links") > 0, F.col("class.id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """docs with one row of each group of near duplicates (those that chains of near pairs connect): that of the least id."""
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, cell: int | None = None) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the least id."""
     prints = _prints(docs, id, text)
-    edges = near_pairs(_points_of(prints), radius, math.log(ratio), forest=True)
-    roots = components(edges)
-    group = prints.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    w = Window.partitionBy("group")
-    ranked = group.withColumn("rank", F.row_number().over(w.orderBy(F.col("id").asc_nulls_last(), "row")))
-    # rows alike in id and text share a key: those that go have a group's later ranks only, and one of those that stay is picked below
-    key, once, rank = fresh(docs.columns, "key", "once", "rank")
-    verdict = stored(ranked.groupBy("row").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("first > 1 or n > 1").select(F.col("row").alias(key), (F.col("first") == 1).alias(once)), "simhash-verdict")
-    judged = docs.withColumn(key, F.xxhash64(col(id), col(text))).join(small(verdict, verdict.count(), 24, BROADCAST_BYTES), key, "left")
-    kept = judged.where(col(once).isNull() | col(text).isNull())
-    rest = [F.xxhash64(col(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    picked = judged.where(col(once) & col(text).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*rest or [F.lit(0)]))).where(col(rank) == 1).drop(rank)
-    return kept.unionByName(picked).select(*map(col, docs.columns))
+    found = _classed(prints, radius, cell)
+    i, h, stays, again, one = fresh(docs.columns, "id", "h", "stays", "again", "one")
+    rows = prints.where("n > 0").join(small(found, found.count(), 96, BROADCAST_BYTES), list(_F))
+    own = F.col("id").eqNullSafe(F.col("class.id")) & (F.col("h") == F.col("class.h"))
+    verdict = rows.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.max(own).alias(stays), (F.count("*") > 1).alias(again)).where(~col(stays) | col(again))
+    verdict = stored(verdict, "simhash-verdict")
+    keyed = docs.withColumn(h, F.xxhash64(col(text).cast("string"))).alias("d")
+    v = small(verdict, verdict.count(), 48, BROADCAST_BYTES).alias("v")
+    same = col_of("d", id).eqNullSafe(col_of("v", i)) & (col_of("d", h) == col_of("v", h)) & col_of("d", text).isNotNull()
+    judged = keyed.join(v, same, "left").select(*(col_of("d", c) for c in docs.columns), col_of("v", h), col(stays))
+    kept = judged.where(col(stays).isNull()).select(*map(col, docs.columns))
+    # rows alike in id and text: one stays, by an aggregate that is combined before the shuffle
+    most = judged.where(col(stays))
+    picked = most.groupBy(col(id).alias(i), col(h)).agg(F.min_by(F.struct(*map(col, docs.columns)), rest_hash(docs, id, text)).alias(one))
+    return kept.unionByName(picked.select(*(col(one)[c].alias(c) for c in docs.columns)))
+
+
+def col_of(table: str, name: str) -> Column:
+    return F.col(f"{table}.`" + name.replace("`", "``") + "`")
 
 
 def op10_simhash_vp(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_classes(read(spark, sf_dir, "documents"))

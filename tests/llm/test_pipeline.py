@@ -1,7 +1,6 @@
 """The pipeline's stages, one by one, against brute force on what the stage before kept; and the queries' SQL."""
 
 import glob
-import math
 import os
 
 import duckdb
@@ -28,7 +27,7 @@ def _groups(rows):
 
     for i in range(len(rows)):
         for j in range(i + 1, len(rows)):
-            if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= simhash_vp.RADIUS and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * simhash_vp.RADIUS and abs(math.log(n[i] / n[j])) <= math.log(simhash_vp.RATIO) + 1e-12:
+            if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= simhash_vp.RADIUS and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * simhash_vp.RADIUS:
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
     return {rows[root(i)][0] for i in range(len(rows))}
@@ -94,16 +93,22 @@ def test_sql(spark, name, sf):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
 
 
-def test_embedding_sql_on_near_copies(spark):
-    """The small tables have no near pairs; these rows do."""
-    path = "/root/testdata/check_s/embeddings.parquet"
+def test_embedding_sql_on_near_copies(spark, tmp_path):
+    """The small tables have no near pairs: here each of their vectors has three copies that are turned by some 0 to 12 degrees, and a hundred a crowd."""
     from parley.llm import embedding_lsh
 
+    rng = np.random.default_rng(8)
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()])
+    turned = lambda y, most: y + rng.normal(size=y.shape) * rng.uniform(0, most, (len(y), 1)) * np.linalg.norm(y, axis=1, keepdims=True) / y.shape[1] ** 0.5
+    x = np.concatenate([x, *(turned(x, 0.2) for _ in range(3)), turned(np.repeat(x[:1], 100, 0), 0.1)])
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
     c = duckdb.connect()
-    c.execute(f"create view embeddings as select * from '{path}/*.parquet' where vec_id < 1500")
-    want = c.execute(embedding_lsh.OP4_SQL).fetchall()
-    got = embedding_lsh.near_vectors(spark.read.parquet(path).where("vec_id < 1500"))
-    assert len(want) > 10 and sorted((r.vec_a, r.vec_b) for r in got.collect()) == sorted(w[:2] for w in want)
+    c.execute(f"create view embeddings as select * from '{tmp_path}/v/*.parquet'")
+    want = sorted(c.execute(embedding_lsh.OP4_SQL).fetchall())
+    got = sorted(map(tuple, embedding_lsh.near_vectors(spark.read.parquet(str(tmp_path / "v"))).select("vec_id", "class_id", "n_links").collect()))
+    pairs = sum(r[2] for r in want) / 2
+    assert pairs > 1000 and sum(r[2] for r in got) / 2 >= 0.995 * pairs
+    assert all(a[2] <= b[2] for a, b in zip(got, want)) and np.mean([a == b for a, b in zip(got, want)]) > 0.99
 
 
 def test_every_operator_has_its_query():
