@@ -67,8 +67,8 @@ def test_words_and_hashes():
     assert list(textops.slices(pa.array(["a" * 10, "b", "c" * 30, "d"]), 12)) == [(0, 2), (2, 3), (3, 4)]
 
 
-def _pairs(f, n, radius, ratio):
-    return {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= radius and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * radius and abs(math.log(n[i] / n[j])) <= math.log(ratio) + 1e-12}
+def _pairs(f, n, radius=24):
+    return {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if n[i] and n[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= radius and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 2 * radius}
 
 
 @pytest.mark.parametrize("radius", [3, 24])
@@ -79,22 +79,50 @@ def test_tree_search_is_exact(radius):
     for i in range(300, 600):
         for b in rng.integers(0, 256, rng.integers(0, 16)):
             f[i, b // 64] ^= np.uint64(1 << int(b % 64))
-    n = rng.integers(10, 1000, 600)
-    p = simhash_vp.Points(f, np.log(n))
-    got = {(min(a, b), max(a, b)) for x, y, _ in simhash_vp.search(p, p, radius, math.log(1.25), leaf=16) for a, b in zip(x.tolist(), y.tolist()) if a != b}
-    assert got == _pairs(f, n, radius, 1.25)
-    tree, leaves = simhash_vp.build(p, 16, radius)
+    f[500:540] = f[7] ^ (np.uint64(1) << rng.integers(0, 63, (40, 4)).astype(np.uint64))  # a crowd
+    true = _pairs(f, np.ones(600, int), radius)
+    got = [(min(a, b), max(a, b)) for a, c, _ in simhash_vp.search(f, None, radius, leaf=16) for b in c.tolist()]
+    assert set(got) == true and len(got) == len(true)
+    met = [(a, b) for a, c, _ in simhash_vp.search(f[:250], f[250:], radius, leaf=16) for b in (c + 250).tolist()]
+    assert len(set(met)) == len(met) and set(met) == {(a, b) for a, b in true if a < 250 <= b}
+    tree, leaves = simhash_vp.build(f, 16, radius)
     if radius == 3:  # here bounds prune
         assert leaves > 8
-        assert sum(len(q) for _, q in simhash_vp.visit(tree, p, np.arange(600), 3, math.log(1.25))) < 0.8 * 600 * leaves
+        assert sum(len(q) for _, q in simhash_vp.visit(tree, f, np.arange(600), 3)) < 0.8 * 600 * leaves
 
 
 def _labels(n, pairs):
     l = list(range(n))
-    for _ in range(n):
-        for a, b in pairs:
-            l[a] = l[b] = min(l[a], l[b])
-    return l
+
+    def root(i):
+        while l[i] != i:
+            i = l[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        l[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def _classes(ids, pairs):
+    """(id, class, links) of rows by brute force; null ids come last."""
+    label, links = _labels(len(ids), pairs), [0] * len(ids)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    least = {}
+    for i, l in zip(ids, label):
+        least[l] = min((x for x in (least.get(l), i) if x is not None), default=None)
+    return sorted(((i, least[l], n) for i, l, n in zip(ids, label, links)), key=str)
+
+
+def test_links_of_a_task():
+    links = components.Links(np.array([1, 2, 3, 4, 5]))
+    links.add(0, np.array([2]))
+    links.add(3, np.array([4]))
+    links.add(2, np.array([3, 4]))
+    assert [x.tolist() for x in links.found()] == [[0, 2, 3, 4], [0, 0, 0, 0], [3, 10, 8, 7]]
 
 
 def test_components(spark):
@@ -104,39 +132,52 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_duplicates(awkward, nothing, documents):
+def _near(rows):
+    return _pairs(*simhash_vp.fingerprints(pa.array([t for _, t in rows], pa.string())))
+
+
+@pytest.mark.parametrize("cell", [None, 90])
+def test_near_classes(awkward, nothing, documents, cell):
+    """One row for each row, with the least id of its class and the number of its partners, by comparing every pair; in one cell and in many."""
     for d in (awkward, documents):
-        rows = sorted({(r.doc_id, r.text) for r in d.collect() if r.doc_id is not None and r.text is not None})
-        f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
-        true = _labels(len(rows), _pairs(f, n, 24, 1.25))
-        at = {i: k for k, (i, _) in enumerate(rows)}
-        got = [(r.doc_a, r.doc_b, r.distance) for r in simhash_vp.near_duplicates(d).collect()]
-        assert all(a < b and z <= 48 for a, b, z in got) and len(set(got)) == len(got)
-        assert _labels(len(rows), [(at[a], at[b]) for a, b, _ in got]) == true
-    assert (0, 22) in {x[:2] for x in map(tuple, simhash_vp.near_duplicates(awkward).collect())}
-    assert simhash_vp.near_duplicates(nothing).count() == 0
-
-
-def test_all_pairs_of_rows(spark, documents):
-    """Copies of copies too: two equal texts near two others make six pairs."""
+        rows = [(r.doc_id, r.text) for r in d.collect()]
+        got = sorted(map(tuple, simhash_vp.near_classes(d, cell=cell).collect()), key=str)
+        assert got == _classes([i for i, _ in rows], _near(rows)) and any(n for *_, n in got)
+    assert simhash_vp.near_classes(nothing, cell=cell).count() == 0
+
+
+def test_sizes_do_not_matter(spark):
+    """A text and the same with a section added: the fingerprints decide, not the numbers of words."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 510)]
+        rows += [(2 * k, " ".join(words[:400])), (2 * k + 1, " ".join(words))]
+    true = _near(rows)
+    assert sum((2 * k, 2 * k + 1) in true for k in range(40)) > 20
+    got = simhash_vp.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _classes([i for i, _ in rows], true)
+
+
+def test_copies_of_near_texts_and_ids_of_text(spark):
+    """Two equal texts near two others: every row has three links; ids may be strings, and rows repeated."""
     words = [f"word{i}" for i in range(200)]
     one, two = " ".join(words), " ".join(["changed", *words[1:]])
-    few = spark.createDataFrame([(1, one), (2, one), (3, two), (4, two), (2, one)], "doc_id long, text string")
-    for d in (few, documents):
-        rows = sorted({(r.doc_id, r.text) for r in d.collect()})
-        f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
-        true = sorted(tuple(sorted((rows[i][0], rows[j][0]))) for i, j in _pairs(f, n, 24, 1.25))
-        got = sorted((r.doc_a, r.doc_b) for r in simhash_vp.near_duplicates(d).collect())
-        assert got == true and len(set(got)) == len(got)
-        assert d is documents or len(got) == 6
+    rows = [("b", one), ("c", one), ("d", two), ("e", two), ("c", one), (None, two), ("z", "alone in the world"), ("y", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(map(tuple, simhash_vp.near_classes(d).collect()), key=str)
+    assert got == _classes([i for i, _ in rows], _near(rows)) and ("b", "b", 5) in got
+    assert sorted(r.doc_id for r in simhash_vp.without_near_duplicates(d).collect()) == ["b", "y", "z"]
 
 
-def test_all_pairs_of_distinct_fingerprints_in_small_cells(spark, documents):
-    rows = sorted((r.doc_id, r.text) for r in documents.collect())
-    f, n = simhash_vp.fingerprints(pa.array([t for _, t in rows]))
-    p = spark.createDataFrame([(i, i, *map(int, a), math.log(m)) for i, (a, m) in enumerate(zip(f.view(np.int64), n)) if m], "node long, id long, f0 long, f1 long, f2 long, f3 long, s double")
-    got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in simhash_vp.near_pairs(p, cell=16).collect())
-    assert got == sorted(_pairs(f, n, 24, 1.25))
+def test_which_repeated_row_stays(spark):
+    """Rows alike in id and text but not in a map: the same one stays however rows lie."""
+    rows = [(1, "some words here", {"k": str(k)}) for k in range(9)] + [(2, "some words here", {"k": "x"})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, m map<string,string>")
+    kept = [simhash_vp.without_near_duplicates(d.repartition(n)).collect() for n in (1, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] and kept[0][0].doc_id == 1
+    kept = [exact_dedup.without_exact_duplicates(d.repartition(n)).collect() for n in (1, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] and kept[0][0].doc_id == 1
 
 
 def test_one_of_each_group_stays(awkward, nothing):
@@ -157,34 +198,38 @@ def test_collision_probability_and_shape():
     assert embedding_lsh.shape(1000)[0] < embedding_lsh.shape(10**6)[0]
 
 
-def test_near_vectors(spark):
+@pytest.fixture(scope="module")
+def vectors():
+    """Rows with crowds of near copies, exact copies, and vectors that match nothing."""
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 32))
-    for i in range(150, 300):
-        x[i] = x[i % 40] + rng.normal(size=32) * 0.12
-    rows = [(int(i), [float(z) for z in v * rng.uniform(0.1, 9)], "l") for i, v in enumerate(x)]
-    rows += [(5, rows[5][1], "l"), (5, rows[5][1], "m"), (400, None, None), (401, [], "l"), (402, [0.0] * 32, "l"), (403, [None] * 32, "l"), (404, [float("nan")] * 32, "l"), (None, rows[0][1], "l"), (405, [1.0, 2.0], "l"), (406, [2.0, 4.0], "l")]
+    x = rng.normal(size=(900, 32))
+    for i in range(300, 700):
+        x[i] = x[i % 40] + rng.normal(size=32) * rng.uniform(0.02, 0.16)
+    x[700:800] = x[:100]
+    x[800:] = x[5] + rng.normal(size=(100, 32)) * 0.05
+    rows = [(int(i), [float(z) for z in v * (1 if 700 <= i < 800 else rng.uniform(0.1, 9))], "l") for i, v in enumerate(x)]
+    rows += [(5, rows[5][1], "l"), (5, rows[5][1], "m"), (1000, None, None), (1001, [], "l"), (1002, [0.0] * 32, "l"), (1003, [None] * 32, "l"), (1004, [float("nan")] * 32, "l"), (1005, [1.0, 2.0], "l"), (1006, [2.0, 4.0], "l"), (1007, [0.0] * 32, "l"), (None, rows[0][1], "l"), (None, None, None)]
+    u = np.array([np.pad(v, (0, 32 - len(v))) / np.linalg.norm(v) if v and None not in v and np.isfinite(v).all() and any(v) else np.full(32, np.nan) for _, v, _ in rows])
+    dim = np.array([len(v or []) for _, v, _ in rows])
+    return rows, {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu((u @ u.T >= 0.95) & (dim[:, None] == dim), 1)))}
+
+
+def test_near_vectors(spark, vectors):
+    rows, true = vectors
+    assert len(true) > 5000
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, sig string")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)))} | {(405, 406)}
+    want = _classes([i for i, *_ in rows], true)
     for block in (7, 2048):
-        got = embedding_lsh.near_vectors(d, block=block).collect()
-        pairs = {(r.vec_a, r.vec_b) for r in got}
-        assert len(pairs) == len(got) and pairs <= true and len(pairs) >= 0.9 * len(true)
-        assert all(r.cosine >= 0.95 for r in got)
+        got = sorted(map(tuple, embedding_lsh.near_vectors(d, block=block).collect()), key=str)
+        assert [r[:1] for r in got] == [r[:1] for r in want]
+        assert 0.995 * 2 * len(true) <= sum(r[2] for r in got) <= 2 * len(true)
+        assert np.mean([a == b for a, b in zip(got, want)]) > 0.97
+    named = spark.createDataFrame([(None if i is None else f"v{i:04}", v) for i, v, _ in rows], "vec_id string, embedding array<double>")
+    got = embedding_lsh.near_vectors(named).collect()
+    assert len(got) == len(rows) and {r.class_id for r in got if r.vec_id == "v1006"} == {"v1005"}
     assert embedding_lsh.near_vectors(d.limit(0)).count() == 0
 
 
-def test_recall_on_the_table(spark):
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
-    rows = e.collect()
-    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    true = {tuple(sorted((ids[i], ids[j]))) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
-    got = {(r.vec_a, r.vec_b) for r in embedding_lsh.near_vectors(e).collect()}
-    assert got <= true and len(got) >= 0.9 * len(true)
-
-
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(200):
