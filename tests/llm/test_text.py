@@ -1,5 +1,6 @@
 """Language, private data, quality, language model, BPE and mixing."""
 
+import math
 import random
 import re
 
@@ -165,27 +166,42 @@ def test_quality_cases(spark, awkward, nothing):
 # Language model
 
 
-def test_network_gradient_lowers_the_loss_and_matches_differences():
+def _lexicon(texts, own=40):
+    (_, h, first), = list(lm_pseudo._words(texts))
+    u, n = np.unique(h, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    return h, first, lm_pseudo.Lexicon.of(u[order], n[order], float(n.sum()), own, 5)
+
+
+def test_network_gradient_by_differences():
     rng = np.random.default_rng(0)
-    net = lm_pseudo.Net.start(12)
-    ctx, cls = rng.integers(0, 12, (4, 200)), rng.integers(0, 5, 200)
-    before = net.log_p(ctx, cls).sum()
-    t = lm_pseudo.Trainer(net, rate=1e-3)
-    t.batch(ctx, cls)
-    assert t.net.log_p(ctx, cls).sum() > before
-    # one bias by finite differences: Adagrad's accumulator holds 1 + gradient**2 / n
-    up = lm_pseudo.Net(net.e, net.b, net.w, net.c.copy())
-    up.c[2] += 1e-2
-    slope = (up.log_p(ctx, cls).sum() - before) / 1e-2
-    assert np.isclose(np.sqrt((t.g.c[2] - 1) * 200), abs(slope), rtol=0.05, atol=0.5)
+    net = lm_pseudo.Net.start(12, 64)
+    ctx, h, some = rng.integers(0, 12, (4, 50)), rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 7).astype(np.uint64)
+    some[0] = h[3]  # which is no negative of itself
+
+    def loss(net):
+        hid = np.tanh(sum(net.e[k].astype(float)[ctx[k]] for k in range(4)) + net.b)
+        z = np.concatenate([(hid * net.vectors(h)).sum(1)[:, None], hid @ net.vectors(some).T], 1)
+        z[:, 1:][h[:, None] == some] = -80
+        return float((np.logaddexp.reduce(z, 1) - z[:, 0]).sum())
+
+    dh, d_own, d_some = lm_pseudo.Trainer(net).gradient(ctx, h, some)
+    for at in [(0, 3, 2), (2, 7, 0), (3, 11, 15)]:
+        up = lm_pseudo.Net(net.e.astype(float), net.b, net.u.astype(float))
+        up.e[at] += 1e-5
+        assert np.isclose((loss(up) - loss(lm_pseudo.Net(net.e.astype(float), net.b, net.u.astype(float)))) / 1e-5, dh[ctx[at[0]] == at[1]].sum(0)[at[2]], atol=2e-3)
+    a, b = net.places(np.concatenate([h, some]))
+    for row in (int(a[4]), int(b[-1])):
+        up = lm_pseudo.Net(net.e.astype(float), net.b, net.u.astype(float))
+        up.u[row, 1] += 1e-5
+        want = np.concatenate([d_own, d_some])[(a == row) | (b == row)].sum(0)[1]
+        assert np.isclose((loss(up) - loss(lm_pseudo.Net(net.e.astype(float), net.b, net.u.astype(float)))) / 1e-5, want, atol=2e-3)
 
 
 def test_windows_by_definition():
-    texts = pa.array(["the cat sat", "", "the", None, "a b c d e f"])
-    (i, h, ending, first), = list(lm_pseudo._words(texts))
-    lex = lm_pseudo.Lexicon.of(h[:2], ending[:2], np.array([5, 3]), np.zeros(lm_pseudo.CLASSES), np.zeros(lm_pseudo.CLASSES))
-    ctx, cls, _ = lm_pseudo.windows(lex, h, ending, first)
-    sym, _, _ = lex.encode(h, ending)
+    h, first, lex = _lexicon(pa.array(["the cat sat", "", "the", None, "a b c d e f"]), own=3)
+    ctx, sym = lm_pseudo.windows(lex, h, first), lex.symbols(h, lex.find(h))
+    assert (sym < 3).sum() == 4 and sym.max() < lex.size - 1
     for d in range(5):
         own = sym[first[d] : first[d + 1]]
         for p in range(len(own)):
@@ -194,40 +210,67 @@ def test_windows_by_definition():
                 assert ctx[k, first[d] + p] == want
 
 
-def test_word_probabilities_sum_to_one_in_their_class():
-    words = np.arange(1, 101, dtype=np.uint64) * np.uint64(77)
-    ending, counts = np.arange(100) % lm_pseudo.CLASSES, np.arange(200, 100, -1)
-    total, distinct = np.bincount(ending, counts) + 50, np.bincount(ending) + 10
-    lex = lm_pseudo.Lexicon.of(words, ending, counts, total, distinct)
-    for c in range(lm_pseudo.CLASSES):
-        known = lex.cls == lm_pseudo.TOP + c
-        assert np.isclose(np.exp(lex.inside[known]).sum() + 11 * np.exp(lex.other[c]), 1)
+def _by_definition(model, counts, text):
+    """A document's summed log P(word | both sides), word by word in plain Python."""
+    (_, h, first), = list(lm_pseudo._words(pa.array([text])))
+    lex, net, words = model.lexicon, model.net, [int(x) for x in h]
+    place = {int(w): k for k, w in enumerate(lex.words[: lex.own]) if lex.find(np.array([w]))[0] == k}
+    vector = lambda w: net.u[w % (len(net.u) // 2)] + net.u[(w >> 32) % (len(net.u) // 2) + len(net.u) // 2]
+    symbol = lambda w: place.get(w, lex.own + (w >> 40) % lex.sharing)
+    total = 0.0
+    for i, w in enumerate(words):
+        x = np.array(net.b, float)
+        for k, off in enumerate((-2, -1, 1, 2)):
+            x = x + net.e[k][symbol(words[i + off]) if 0 <= i + off < len(words) else lex.size - 1]
+        x = np.tanh(x)
+        z = sum(q * math.exp(x @ vector(int(s))) for s, q in zip(model.sample.words, model.sample.weights))
+        total += math.log(counts.get(w, 1) / lex.total) + x @ vector(w) - math.log(z)
+    return len(words), total
+
+
+def test_lm_scores_by_definition(spark, documents, awkward, nothing, monkeypatch):
+    """Every term of every document; also where most words' counts have to be joined."""
+    for cache in (lm_pseudo.CACHE, 60):
+        monkeypatch.setattr(lm_pseudo, "CACHE", cache)
+        monkeypatch.setattr(lm_pseudo, "SYMBOLS", min(cache, 4096))
+        model = lm_pseudo.train(documents)
+        counts = {r.word % (1 << 64): r.n for r in model.counts.collect()}
+        some = documents.where("doc_id % 9 = 0")
+        text = {r.doc_id: r.text for r in some.collect()}
+        got = lm_pseudo.score(some, model).collect()
+        assert len(got) == len(text) > 10
+        for r in got:
+            n, want = _by_definition(model, counts, text[r.doc_id])
+            assert r.n_words == n and abs(r.log_likelihood - want) <= 1e-3 * max(1, n) and (n == 0 or abs(r.mean_log_likelihood - want / n) < 1e-3)
+    by = {r.doc_id: r for r in lm_pseudo.score(awkward, model).collect()}
+    assert by[32].log_likelihood is None and by[32].n_words == 0 and by[30].log_likelihood == 0 and by[30].mean_log_likelihood is None and by[36].n_words == 0
+    assert by[34].n_words == by[38].n_words == 20_000 and by[34].log_likelihood == by[38].log_likelihood and by[35].n_words == 1
+    assert lm_pseudo.score(awkward, model).count() == awkward.count()
+    assert lm_pseudo.score(nothing, lm_pseudo.train(nothing)).count() == 0
 
 
-def test_lm_scores(spark, awkward, nothing, documents):
-    model = lm_pseudo.train(documents)
-    texts = pa.array([r.text for r in documents.collect()])
-    n, s = lm_pseudo.score_arrays(model, texts)
+def test_scores_do_not_depend_on_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [{r.doc_id: r.mean_log_likelihood for r in lm_pseudo.score(x, lm_pseudo.train(x)).collect()} for x in (d.repartition(2), d.repartition(40))]
+    assert len(got[0]) == d.count() and all(v is None and got[1][i] is None or abs(v - got[1][i]) < 1e-4 for i, v in got[0].items())
+
+
+def test_both_sides_tell_more_than_none(documents):
+    """Held-out documents score above what word frequencies give them, and above their own words shuffled."""
+    model = lm_pseudo.train(documents.where("doc_id % 5 <> 0"))
+    texts = [r.text for r in documents.where("doc_id % 5 = 0").collect()]
+    n, s = lm_pseudo.score_arrays(model, pa.array(texts))
+    plain = sum(float(np.sum(np.append(np.log(model.lexicon.counts), 0.0)[model.lexicon.find(h)] - np.log(model.lexicon.total))) for _, h, _ in lm_pseudo._words(pa.array(texts)))
     rng = random.Random(3)
-    noise = pa.array([" ".join("".join(rng.choice("qxzjkw") for _ in range(6)) for _ in t.as_py().split()) for t in texts])
+    noise = pa.array([" ".join(rng.sample(w := " ".join(texts).split(), min(len(w), len(t.split())))) for t in texts])
     n2, s2 = lm_pseudo.score_arrays(model, noise)
-    assert s.sum() / n.sum() > s2.sum() / n2.sum() + 0.5
-    classes = np.concatenate([lm_pseudo.windows(model.lexicon, h, e, f)[1] for _, h, e, f in lm_pseudo._words(texts)])
-    inside = sum(lm_pseudo.windows(model.lexicon, h, e, f)[2].sum() for _, h, e, f in lm_pseudo._words(texts))
-    p = np.bincount(classes, minlength=lm_pseudo.TOP + lm_pseudo.CLASSES) / len(classes)
-    assert s.sum() - inside > np.log(p[classes]).sum()  # both sides tell more than none
-    got = lm_pseudo.score(awkward, model).collect()
-    assert len(got) == awkward.count()
-    by = {r.doc_id: r for r in got}
-    assert by[32].log_likelihood is None and by[32].n_words == 0 and by[30].log_likelihood == 0 and by[30].mean_log_likelihood is None
-    assert lm_pseudo.score(nothing, lm_pseudo.train(nothing)).count() == 0
+    assert s.sum() > plain and s.sum() / n.sum() > s2.sum() / n2.sum()
 
 
 def test_every_word_has_its_own_count(spark, monkeypatch):
-    """Words beyond the vocabulary and the cache: scores rise with the count of the word over the corpus."""
-    monkeypatch.setattr(lm_pseudo, "VOCABULARY", 40)
-    monkeypatch.setattr(lm_pseudo, "CACHE", 60, raising=False)
-    monkeypatch.setattr(lm_pseudo, "known", lambda distinct: (40, 1), raising=False)
+    """Words beyond those that travel with the model: scores rise with the count of the word over the corpus."""
+    monkeypatch.setattr(lm_pseudo, "CACHE", 60)
+    monkeypatch.setattr(lm_pseudo, "known", lambda distinct: (40, 4, 1024))
     common = [f"w{i}th" for i in range(100)]
     rows = [" ".join(common)] * 30 + ["often1xy"] * 8 + ["seldom2xy"]
     model = lm_pseudo.train(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
@@ -237,45 +280,49 @@ def test_every_word_has_its_own_count(spark, monkeypatch):
     assert got[4].n_words == 2 and got[4].mean_log_likelihood > got[2].mean_log_likelihood + 1 and got[5].log_likelihood is None
 
 
-def test_words_of_a_class_are_told_apart_by_both_sides():
-    """Two words of one ending and about one count, outside the most frequent: the own term of each is higher between its neighbours."""
+def test_words_are_told_apart_by_both_sides():
+    """Two words of about one count: the own term of each is higher between its neighbours."""
     rng = random.Random(5)
     filler = [f"f{i}q" for i in range(60)]
     side = {"onezz": "left", "twozz": "right"}
     rows = [" ".join([rng.choice(filler), side[w], w, side[w], rng.choice(filler)]) for w in rng.choices(list(side), k=3000)] + [" ".join(filler * 100)] * 20
-    (_, h, ending, first), = list(lm_pseudo._words(pa.array(rows)))
-    u, at, n = np.unique(h, return_index=True, return_counts=True)
-    order = np.argsort(-n)
-    u, e, n = u[order], ending[at[order]], n[order]
-    lex = lm_pseudo.Lexicon.of(u, e, n, np.bincount(e, n, lm_pseudo.CLASSES), np.bincount(e, minlength=lm_pseudo.CLASSES))
-    rest = [np.flatnonzero((lex.cls == lm_pseudo.TOP + k)) for k in range(lm_pseudo.CLASSES)]
-    sample = lm_pseudo.Sample([lex.words[i] for i in rest], [np.exp(lex.inside[i]) for i in rest])
-    t = lm_pseudo.Trainer(lm_pseudo.Net.start(lex.size), 0.1)
+    h, first, lex = _lexicon(pa.array(rows), own=100)
+    sample = lm_pseudo.Sample(lex.words, lex.counts / lex.total)
+    t = lm_pseudo.Trainer(lm_pseudo.Net.start(lex.size, 1024), 0.1)
     for _ in range(3):
-        t.all(*lm_pseudo.windows(lex, h, ending, first)[:2], h)
+        for at in range(0, len(first) - 1, 200):
+            stop = min(at + 200, len(first) - 1)
+            own = h[first[at] : first[stop]]
+            t.all(lm_pseudo.windows(lex, own, first[at : stop + 1] - first[at]), own)
 
     def own(text):
-        (_, h, ending, first), = list(lm_pseudo._words(pa.array([text])))
-        ctx, cls, inside = lm_pseudo.windows(lex, h, ending, first)
-        assert cls[2] >= lm_pseudo.TOP
-        return (t.net.log_p(ctx, cls, h, sample) + inside)[2]
+        (_, h, first), = list(lm_pseudo._words(pa.array([text])))
+        return (t.net.fit(lm_pseudo.windows(lex, h, first), h, sample) + np.log(lex.counts[lex.find(h)] / lex.total))[2]
 
     assert own("f1q left onezz left f2q") > own("f1q left twozz left f2q") + 1
     assert own("f1q right twozz right f2q") > own("f1q right onezz right f2q") + 1
 
 
-def test_priority_sample_stands_for_its_class(spark):
-    words = [(i * 7919 + 1, i % 3, 1 + 2000 // (i + 1)) for i in range(6000)]
-    counts = spark.createDataFrame(words, "word long, ending long, n long")
-    lex, _, _ = lm_pseudo.lexicon(counts)
+def test_priority_sample_stands_for_the_corpus(spark):
+    words = [(i * 7919 + 1, 1 + 2000 // (i + 1)) for i in range(6000)]
+    counts = spark.createDataFrame(words, "word long, n long")
+    lex, _ = lm_pseudo.lexicon(counts)
     s = lm_pseudo.sampled(counts, lex)
-    for k in range(3):
-        assert len(s.words[k]) == lm_pseudo.PARTITION and 0.6 < s.weights[k].sum() < 1.6
-    assert not set(s.words[0]) & set(lex.words[: lm_pseudo.TOP])
+    assert len(s.words) == len(set(s.words)) == lm_pseudo.TOP + lm_pseudo.PARTITION and 0.8 < s.weights.sum() < 1.2
+
+
+def test_the_model_grows_with_the_corpus():
+    assert lm_pseudo.known(10**6)[0] > lm_pseudo.SYMBOLS and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
+    assert lm_pseudo.groups(10**10) >= 9 * lm_pseudo.groups(10**8)
 
 
-def test_symbols_grow_with_the_corpus():
-    assert lm_pseudo.known(10**6)[0] > lm_pseudo.VOCABULARY and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
+def test_runs_do_not_depend_on_batches():
+    rng = random.Random(2)
+    texts = [None if k % 11 == 0 else " ".join(str(rng.random()) for _ in range(rng.choice([0, 3, 900]))) for k in range(300)]
+    cut = lambda n: [pa.record_batch({"t": pa.array(texts[a : a + n], pa.string())}) for a in range(0, 300, n)]
+    whole, parts = list(lm_pseudo._runs(cut(300), 2000)), list(lm_pseudo._runs(cut(7), 2000))
+    assert len(whole) > 5 and len(whole) == len(parts) and all((a == c).all() for (a, _), (c, _) in zip(whole, parts))
+    assert sum(len(h) for h, _ in whole) == sum(2 * len((t or "").split()) for t in texts)
 
 
 # BPE
