@@ -9,20 +9,21 @@ boundaries and types jointly; forward and backward sums over the same lattice gi
 likelihood, and the weights are fitted on the driver, on sentences that a seeded generator writes, with
 look-alikes (versions, dates, prices, plain numbers) among them.
 
-Candidates are spans that begin and end with a letter or digit (or begin with + or an opening bracket) and
-hold a digit or @. Every other segmentation has no weight, so tokens away from digits and @ are outside in
-any best labelling, and the sequence falls into independent stretches around these: only
-stretches are labelled, of whatever length, and nothing is missed.
+Candidates are spans within a line, without two blanks in a row, of at most MAX_TOKENS tokens and any number of characters, that begin and end with a letter or digit (or begin with + or an opening bracket) and
+hold a digit or @, or follow a cue such as "password =" in one run without blanks. Every other segmentation has no weight, so tokens away from these are outside in
+any best labelling, and the sequence falls into independent stretches around them: only
+stretches are labelled, of whatever length, and nothing is missed. The best labelling is put out as soon as all live ones agree on it, so that a
+long stretch takes time in proportion to its length, and memory for the part that is still open.
 
 Offsets count characters. Defined cases. Null and empty texts have no rows in the result; null ids
-are kept as they are. Repeated rows give repeated entities. Of labellings that score alike the
-one with the fewer entity tokens is taken. An empty table gives an empty result.
+are kept as they are, ids are of any type. Texts of any length are read whole. Repeated rows give repeated entities. Ties: of labellings that score alike the
+one with the fewer entity tokens is taken. Other columns, of whatever name, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +37,19 @@ from .common import col, read, ship
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "IBAN")
 MAX_TOKENS = 24
-MAX_CHARS = 160
 SENTENCES = 700
 SEED = 3
 _TOKEN = regex.compile(r"[^\W_]+|\s+|.", regex.S)
-_TRIGGER = regex.compile(r"[0-9@]")
-_STRETCH = 180  # characters on either side of a trigger: more than an entity and its context take
+_BACK = regex.compile(r"(?r)[^\W_]+|\s+|.", regex.S)
+_TRIGGER = re.compile(r"[0-9@]")
+_CUE = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|key)[ \t]?[:=][ \t]?[\"']?(?=[^\W_])")
+_NEAR = MAX_TOKENS + 12  # tokens on either side of a trigger: more than an entity and its context take
+_OPEN = 4096  # tokens between two looks at what is settled
 _HEX = regex.compile(r"[0-9a-fA-F]+\Z")
 _MAIL = regex.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+\Z")
+_LETTERS, _DIGITS, _OTHER = regex.compile(r"[^\W\d_]+"), regex.compile(r"[0-9]+"), regex.compile(r"[^0-9]+")
+_LOOSE, _LENGTHS = regex.compile(r"9[0-9]+"), regex.compile(r"(?<=9)[0-9]+")
+_NAME, _BEFORE = regex.compile(r"[\w-]+\Z"), regex.compile(r"([^\W\d_]+)\W*\Z")
 _IBAN = regex.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z", regex.I)
 
 
@@ -57,14 +63,14 @@ def _luhn(digits: str) -> bool:
 
 def _shape(span: str) -> str:
     """Letters as a, digit runs as 9 with their length, the rest as it is."""
-    s = regex.sub(r"[^\W\d_]+", "a", span)
-    return regex.sub(r"[0-9]+", lambda m: f"9{len(m.group())}", s)
+    s = _LETTERS.sub("a", span)
+    return _DIGITS.sub(lambda m: f"9{len(m.group())}", s)
 
 
 @lru_cache(maxsize=65536)
 def span_features(shape: str, kind: int, digits: int, n: int) -> tuple[str, ...]:
     """What of a span's features depends on a digest of it only."""
-    loose = regex.sub(r"9[0-9]+", "9", shape)
+    loose = _LOOSE.sub("9", shape)
     return (f"shape={shape}" if len(shape) <= 40 else "shape=long", f"loose={loose}" if len(loose) <= 24 else "loose=long", f"kind={kind}", f"digits={min(digits, 20)}", f"kind={kind},digits={min(digits, 20)}", f"length={min(n // 4, 12)}", "bias")
 
 
@@ -76,7 +82,7 @@ def _kind(span: str) -> int:
     parts = span.split(".")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
         k |= 2
-    digits = "".join(c for c in span if "0" <= c <= "9")
+    digits = _OTHER.sub("", span)
     if 13 <= len(digits) <= 19 and not any(c.isalpha() for c in span):
         k |= 4
         if _luhn(digits):
@@ -89,7 +95,7 @@ def _kind(span: str) -> int:
         k |= 64
     if 7 <= len(digits) <= 15 and span[0] in "+(":
         k |= 128
-    if 24 <= len(span) and span.isascii() and regex.fullmatch(r"[\w-]+", span) and digits and any(c.isalpha() for c in span):
+    if 24 <= len(span) and span.isascii() and _NAME.match(span) and digits and any(c.isalpha() for c in span):
         k |= 256
     return k
 
@@ -97,47 +103,68 @@ def _kind(span: str) -> int:
 class Lattice:
     """The candidate segments of one stretch of text: (first token, end, features)."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, features: bool = True) -> None:
         spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.text = text
         self.start, self.end = [a for a, _ in spans], [b for _, b in spans]
         n = self.n = len(spans)
-        edge = [text[a].isalnum() for a in self.start]
-        opens = [e or text[a] in "+([" for e, a in zip(edge, self.start)]
-        mark = [bool(_TRIGGER.search(text, a, b)) for a, b in spans]
+        self.edge = edge = [text[a].isalnum() for a in self.start]
+        self.opens = [e or text[a] in "+([" for e, a in zip(edge, self.start)]
+        mark = [e and not text[a:b].isalpha() and bool(_TRIGGER.search(text, a, b)) or text[a] == "@" for (a, b), e in zip(spans, edge)]
         upcoming, nxt = [n] * (n + 1), n
         for i in range(n - 1, -1, -1):
             nxt = i if mark[i] else nxt
             upcoming[i] = nxt
-        self.segments = []
-        for i in range(n):
-            if not opens[i]:
-                continue
-            for j in range(max(i, upcoming[i]), min(n, i + MAX_TOKENS)):
-                a, b = self.start[i], self.end[j]
-                if b - a > MAX_CHARS:
-                    break
-                if not edge[j]:
-                    continue
-                span = text[a:b]
-                if "\n" in span or "  " in span:
-                    break
-                self.segments.append((i, j + 1, self._features(text, span, i, j)))
-
-    def _features(self, text: str, span: str, i: int, j: int) -> list[str]:
-        digits = sum("0" <= c <= "9" for c in span)
-        out = list(span_features(_shape(span), _kind(span), digits, len(span)))
-        before = text[max(0, self.start[i] - 12) : self.start[i]].lower()
-        out.append("before=" + before[-1:])
-        word = regex.search(r"([^\W\d_]+)\W*\Z", before)
+        self.upcoming = upcoming
+        self.cued = {m.end() for m in _CUE.finditer(text)}
+        self.stop = [text[a].isspace() and (b - a > 1 or text[a] == "\n") for a, b in spans]  # no segment goes over these
+        self.segments = [(i, j, self._features(i, j - 1)) for i in range(n) for j in self.ends(i)] if features else []
+
+    def ends(self, i: int):
+        """The ends of the segments that begin at token i."""
+        if not self.opens[i]:
+            return
+        cued, edge, stop = self.start[i] in self.cued, self.edge, self.stop
+        least = i if cued else self.upcoming[i]
+        if least >= i + MAX_TOKENS:
+            return
+        for j in range(i, min(self.n, i + MAX_TOKENS)):
+            if stop[j]:
+                return
+            if cued and j < self.upcoming[i] and self.text[self.start[j]].isspace():
+                cued, least = False, self.upcoming[i]  # without a digit or @ a value has no blanks
+            if edge[j] and j >= least:
+                yield j + 1
+
+    def before(self, i: int) -> list[str]:
+        """Features of what stands before a segment."""
+        before = self.text[max(0, self.start[i] - 12) : self.start[i]].lower()
+        out = ["before=" + before[-1:]]
+        word = _BEFORE.search(before)
         if word and word.group(1) in _CUES:
             out.append("cue=" + word.group(1))
-        out.append("after=" + text[self.end[j] : self.end[j] + 1])
-        nxt = text[self.end[j] + 1 : self.end[j] + 2]
-        out.append("goes on" if text[self.end[j] : self.end[j] + 1] in ".-@" and nxt.isalnum() else "ends")
+        if self.start[i] in self.cued:
+            out.append("value")
         return out
 
+    def after(self, j: int) -> list[str]:
+        """Features of what stands behind a segment whose last token is j."""
+        at = self.end[j]
+        return ["after=" + self.text[at : at + 1], "goes on" if self.text[at : at + 1] in ".-@" and self.text[at + 1 : at + 2].isalnum() else "ends"]
+
+    def _features(self, i: int, j: int) -> list[str]:
+        span = self.text[self.start[i] : self.end[j]]
+        digits = sum("0" <= c <= "9" for c in span)
+        return [*span_features(_shape(span), _kind(span), digits, len(span)), *self.before(i), *self.after(j)]
+
 
-_CUES = {"token", "key", "secret", "password", "api", "iban", "card", "phone", "tel", "call", "mail", "email", "ip", "version", "license", "price"}
+_CUES = {"token", "key", "secret", "password", "api", "iban", "card", "phone", "tel", "call", "mail", "email", "ip", "version", "license", "price", "passwd", "pwd"}
+
+
+def _long(shape: str) -> str:
+    """What span_features takes of a shape too long to be a feature."""
+    loose = _LOOSE.sub("9", shape)
+    return "long " + (loose if len(loose) <= 24 else "")
 
 
 class Model:
@@ -147,34 +174,105 @@ class Model:
         self.index, self.k = index, len(TYPES)
         self.w = np.zeros((len(index) + 1, self.k))  # features unknown to the index share the last row, which stays 0
         self.t = np.zeros((self.k + 1, self.k + 1))
+        self.sums: dict[tuple, list[float]] = {}
 
     def scores(self, lattice: Lattice) -> list[np.ndarray]:
         get, last = self.index.get, len(self.index)
         return [self.w[[get(f, last) for f in fs]].sum(0) for _, _, fs in lattice.segments]
 
+    def scored(self, lattice: Lattice):
+        """For each first token its segments as (end, scores by type), as `scores` has them: what depends on the first token, on the last and on a digest of the span is summed once for each."""
+        get, last, w, text = self.index.get, len(self.index), self.w, lattice.text
+        shapes = [_shape(text[a:b]) for a, b in zip(lattice.start, lattice.end)]
+        digits = [sum(map(int, _LENGTHS.findall(s))) if "9" in s else 0 for s in shapes]
+        alpha = ["a" in s for s in shapes]
+        sums, after = self.sums, {}
+
+        def total(key, features) -> list[float]:
+            s = sums.get(key)
+            if s is None:
+                s = w[[get(f, last) for f in features]].sum(0).tolist()
+                if len(sums) < 1 << 17:
+                    sums[key] = s
+            return s
+
+        for i in range(lattice.n):
+            ends = list(lattice.ends(i))
+            if not ends:
+                yield ()
+                continue
+            own = total(tuple(some := lattice.before(i)), some)
+            at, out, k = lattice.start[i], [], i
+            shape, count, letters, dots = "", 0, False, 0
+            for j in ends:
+                for k in range(k, j):
+                    shape, count, letters, dots = shape + shapes[k], count + digits[k], letters or alpha[k], dots + (shapes[k] == ".")
+                k = j
+                n = lattice.end[j - 1] - at
+                # the checks of _kind, where none of them can hold it is 0
+                head = text[at]
+                kind = 0
+                if head in "+(" or "@" in shape or dots == 3 or letters and n >= 13 or not letters and count >= 13:
+                    kind = _kind(text[at : at + n])
+                key = (shape if len(shape) <= 40 else _long(shape), kind, min(count, 20), min(n // 4, 12))
+                s = sums.get(key) or total(key, span_features(shape, kind, count, n))
+                behind = after.get(j)
+                if behind is None:
+                    behind = after[j] = total(tuple(some := lattice.after(j - 1)), some)
+                    after.pop(j - MAX_TOKENS - 1, None)
+                out.append((j, [x + y + z for x, y, z in zip(s, own, behind)]))
+            yield out
+
     def best(self, lattice: Lattice) -> list[tuple[int, int, int]]:
         """The segments (first token, end, type) of the best labelling but those outside."""
         n, k, t = lattice.n, self.k + 1, self.t.tolist()
-        ending: dict[int, list] = {}
-        for (i, j, _), s in zip(lattice.segments, self.scores(lattice)):
-            ending.setdefault(j, []).append((i, s.tolist()))
         low = float("-inf")
-        v, back = [[0.0] + [low] * (k - 1)], [None]
-        for j in range(1, n + 1):
-            prev = v[j - 1]
-            p = max(range(k), key=lambda a: (prev[a] + t[a][0], -a))
-            row, from_ = [prev[p] + t[p][0]] + [low] * (k - 1), [(j - 1, p)] + [None] * (k - 1)
-            for i, s in ending.get(j, ()):
-                at = v[i]
-                for y in range(1, k):
-                    for a in range(k):
-                        if at[a] > low and (z := at[a] + t[a][y] + s[y - 1]) > row[y]:
-                            row[y], from_[y] = z, (i, a)
-            v.append(row)
-            back.append(from_)
-        j, y = n, max(range(k), key=lambda a: (v[n][a], -a))
+        types, every = range(1, k), range(k)
+        v: dict[int, list] = {0: [0.0] + [low] * (k - 1)}  # of tokens that open segments may still reach
+        back: dict[int, list] = {0: [None] * k}
+        coming: dict[int, list] = {}
+        out: list[tuple[int, int, int]] = []
+        base = 0  # what is before it has been put out
+        segments = self.scored(lattice)
+        for j in range(n + 1):
+            if j:
+                prev = v[j - 1]
+                p = max(every, key=lambda a: (prev[a] + t[a][0], -a))
+                row, from_ = [prev[p] + t[p][0]] + [low] * (k - 1), [(j - 1, p)] + [None] * (k - 1)
+                for i, into, s in coming.pop(j, ()):
+                    for y in types:
+                        if (z := into[y][0] + s[y - 1]) > row[y]:
+                            row[y], from_[y] = z, (i, into[y][1])
+                v[j], back[j] = row, from_
+                v.pop(j - MAX_TOKENS - 1, None)
+            if j < n and (own := next(segments)):
+                at = v[j]
+                into = [None, *(max((at[a] + t[a][y], -a) for a in every) for y in types)]
+                into = [None, *((z, -a) for z, a in into[1:])]
+                for end, s in own:
+                    coming.setdefault(end, []).append((j, into, s))
+            if j - base >= _OPEN and j < n:
+                # all live labellings agree before a place that each of their traces passes
+                live = {(i, y) for i in range(max(base, j - MAX_TOKENS), j + 1) for y in every if v[i][y] > low}
+                while len(live) > 1:
+                    i, y = max(live)
+                    live.discard((i, y))
+                    if i <= base:
+                        break
+                    live.add(back[i][y])
+                else:
+                    (i, y), = live
+                    if i > base:
+                        out += self._trace(back, i, y, base)
+                        for x in range(base, i):
+                            back.pop(x, None)
+                        back[i], base = [None] * k, i
+        out += self._trace(back, n, max(every, key=lambda a: (v[n][a], -a)), base)
+        return out
+
+    def _trace(self, back: dict, j: int, y: int, base: int) -> list[tuple[int, int, int]]:
         out = []
-        while j > 0:
+        while j > base:
             i, a = back[j][y]
             if y:
                 out.append((i, j, y))
@@ -252,6 +350,10 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             s = ".".join(str(rng.randint(0 if i else 1, 255)) for i in range(4))
         elif t == "CARD":
             s = rng.choice([digits(16), "4" + digits(15), "-".join(digits(4) for _ in range(4)), " ".join(digits(4) for _ in range(4)), digits(15)])
+        elif t == "SECRET" and rng.random() < 0.25:
+            s = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * (rng.random() < 0.7)) for _ in range(rng.randint(8, 32)))
+            q = rng.choice(['"', '"', "'", ""])
+            return f"{rng.choice(['password', 'secret', 'token', 'key', 'passwd', 'PASSWORD'])}{rng.choice([' = ', '=', ': '])}{q}", s, q, t
         elif t == "SECRET":
             s = rng.choice([hexes(40), hexes(40), hexes(32), hexes(64), "sk_live_" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(24)), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)) + digits(4)])
             s = s.upper() if rng.random() < 0.15 else s
@@ -267,7 +369,7 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         return "", s, "", t
 
     def decoy() -> str:
-        return rng.choice([f"{digits(1)}.{digits(1)}", f"version {digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(3)}.{digits(2)}", digits(rng.randint(1, 8)), f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"@{word()}", f"{word()} @ {word()}", f"{word()}{digits(2)}", f"NC {digits(1)}.0", f"{digits(1)},{digits(3)},{digits(3)}", f"${digits(3)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"({digits(4)})", f"{digits(2)}/{digits(2)}/{digits(4)}"])
+        return rng.choice([f"{digits(1)}.{digits(1)}", f"version {digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(3)}.{digits(2)}", digits(rng.randint(1, 8)), f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"@{word()}", f"{word()} @ {word()}", f"{word()}{digits(2)}", f"NC {digits(1)}.0", f"{digits(1)},{digits(3)},{digits(3)}", f"${digits(3)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"({digits(4)})", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{rng.choice(['key', 'token', 'secret', 'password'])}: {word()[:7]}", f"key: {word()[:5]} {word()}"])
 
     junk = rng.choice(["", "", "", "", "!!", "***", "###", "|"])
     text, gold = "", []
@@ -324,26 +426,50 @@ def train(sentences: int = SENTENCES, epochs: int = 14, seed: int = SEED) -> Mod
 
 def stretches(text: str):
     """(begin, end) of parts of text around triggers, cut where no entity can reach across."""
-    begin = last = None
-    for m in _TRIGGER.finditer(text):
-        p = m.start()
-        if last is not None and p - last > 2 * _STRETCH:
-            yield max(0, begin - _STRETCH), min(len(text), last + _STRETCH)
-            begin = None
-        begin, last = (p if begin is None else begin), p
-    if last is not None:
-        yield max(0, begin - _STRETCH), min(len(text), last + _STRETCH)
+    begin = end = None
+    marks = sorted([m.start() for m in _TRIGGER.finditer(text)] + [m.end() for m in _CUE.finditer(text)])
+    for p in marks:
+        if end is not None and p < end - 1:
+            if p >= at:  # a trigger further on than the last that was looked at
+                end = max(end, _tokens_on(text, p))
+                at = max(at, (p + end) // 2)
+            continue
+        low = _tokens_back(text, p)
+        if end is not None and low <= end:
+            end = max(end, _tokens_on(text, p))
+        else:
+            if end is not None:
+                yield begin, end
+            begin, end = low, _tokens_on(text, p)
+        at = (p + end) // 2
+    if end is not None:
+        yield begin, _tokens_on(text, marks[-1])
+
+
+def _tokens_on(text: str, p: int) -> int:
+    """The end of the token that is _NEAR tokens on from place p."""
+    end = p
+    for k, m in enumerate(_TOKEN.finditer(text, p)):
+        end = m.end()
+        if k == _NEAR:
+            break
+    return end
+
+
+def _tokens_back(text: str, p: int) -> int:
+    begin = p
+    for k, m in enumerate(_BACK.finditer(text, 0, p)):
+        begin = m.start()
+        if k == _NEAR:
+            break
+    return begin
 
 
 def entities(model: Model, text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of all entities of a text."""
     out = []
     for a, b in stretches(text):
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():  # tokens are cut as in the whole text
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        lattice = Lattice(text[a:b])
+        lattice = Lattice(text[a:b], features=False)
         for i, j, y in model.best(lattice):
             out.append((TYPES[y - 1], a + lattice.start[i], a + lattice.end[j - 1]))
     return out
@@ -357,10 +483,11 @@ def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", model:
 
     def tag(texts: pa.Array) -> pa.Array:
         m, kinds, starts, ends, offsets = sent.value, [], [], [], [0]
-        buf, offs = textops.raw(texts)
-        hits = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum((buf >= 48) & (buf <= 57) | (buf == 64), out=hits[1:])
-        has = hits[offs[1:]] > hits[offs[:-1]]
+        has = np.zeros(len(texts), bool)
+        for i, j in textops.slices(texts):
+            buf, offs = textops.raw(texts.slice(i, j - i))
+            at = np.flatnonzero((buf >= 48) & (buf <= 58) | (buf == 64) | (buf == 61))  # digits, @, and what stands between a cue and its value
+            has[i + np.searchsorted(offs, at, "right") - 1] = True
         for r in range(len(texts)):
             if has[r]:
                 for t, a, b in entities(m, texts[r].as_py()):
