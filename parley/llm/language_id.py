@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter serves all languages: it is sliced by bit, so that a place holds a mask with a bit
-for each language, and the masks at an n-gram's places, and-ed, give all languages whose profile has
+for each language (in as many planes of 32 as there are languages for), and the masks at an n-gram's places, and-ed, give all languages whose profile has
 the n-gram. For each document the masks of all its n-grams (GRAM bytes of the lower-cased text, white space
 of any kind and length being one space) are counted by language. Of N n-grams, a language of which
 h are in its profile is credited with c = h + (N - h) * f on average, f being the share of foreign
@@ -12,10 +12,10 @@ Profiles are built on the driver from at most TRAIN_ROWS labelled rows, those of
 id: the n-grams that are in MIN_COUNT places of a language and at least a fifth as frequent there
 as in any other. Scoring sees every document whole.
 
-Defined cases. A null text, or one with fewer than GRAM bytes, has no n-grams: "und" with share 0, keep
-false. Of languages with equal credit the first in alphabetical order is taken. Null labels
-don't count for profiles. Without labelled rows all is "und". Repeated rows get equal results. At
-most 32 languages, the most frequent of the sample, have bits. An empty table gives an empty result.
+Defined cases. A null text, or one with fewer than GRAM bytes (empty, white space), has no n-grams: "und" with share 0, keep
+false. Texts of any length are read whole, a slice of rows at a time. Ties: of languages with equal credit the first in alphabetical order is taken. Null labels
+don't count for profiles. Without labelled rows all is "und". Repeated rows get equal results, and of rows with one id one is learnt from. Ids are of any type, and null ids
+are kept. Other columns, of whatever name, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,18 +76,19 @@ class Filter:
 
     @classmethod
     def of(cls, profiles: dict[str, np.ndarray]) -> Filter:
-        languages, masks = sorted(profiles), np.zeros(1 << PLACES, np.uint32)
+        languages = sorted(profiles)
+        masks = np.zeros((max(1, -(-len(languages) // 32)), 1 << PLACES), np.uint32)
         for l, name in enumerate(languages):
             for k in range(HASHES):
-                masks[np.unique(_at(profiles[name], k))] |= np.uint32(1 << l)
-        fill = np.array([float((masks >> np.uint32(l) & np.uint32(1)).mean()) for l in range(len(languages))])
+                masks[l // 32][np.unique(_at(profiles[name], k))] |= np.uint32(1 << l % 32)
+        fill = np.array([float((masks[l // 32] >> np.uint32(l % 32) & np.uint32(1)).mean()) for l in range(len(languages))])
         return cls(languages, masks, fill**HASHES)
 
     def lookup(self, g: np.ndarray) -> np.ndarray:
-        """The mask of languages that each n-gram may be of."""
-        m = self.masks[_at(g, 0)]
+        """The masks (planes, n-grams) of languages that each n-gram may be of."""
+        m = self.masks[:, _at(g, 0)]
         for k in range(1, HASHES):
-            m &= self.masks[_at(g, k)]
+            m &= self.masks[:, _at(g, k)]
         return m
 
     def credit(self, g: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -95,8 +96,8 @@ class Filter:
         m, n = self.lookup(g), np.diff(first)
         out = np.zeros((len(n), len(self.languages)))
         for l, f in enumerate(self.pass_rate):
-            total = np.zeros(len(m) + 1, np.int32)
-            np.cumsum(m >> np.uint32(l) & np.uint32(1), out=total[1:], dtype=np.int32)
+            total = np.zeros(len(g) + 1, np.int32)
+            np.cumsum(m[l // 32] >> np.uint32(l % 32) & np.uint32(1), out=total[1:], dtype=np.int32)
             out[:, l] = (total[first[1:]] - total[first[:-1]] - n * f) / (1 - f)
         return out
 
@@ -105,12 +106,12 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
 
-def profiles(texts: list[str], langs: list[str], most: int = 32) -> dict[str, np.ndarray]:
+def profiles(texts: list[str], langs: list[str]) -> dict[str, np.ndarray]:
     by: dict[str, list[str]] = {}
     for t, l in zip(texts, langs):
         if t is not None and l is not None:
             by.setdefault(l, []).append(t)
-    top = sorted(by, key=lambda l: (-len(by[l]), l))[:most]
+    top = sorted(by)
     counts = {}
     for l in top:
         got = []
@@ -136,7 +137,9 @@ def profiles(texts: list[str], langs: list[str], most: int = 32) -> dict[str, np
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Filter:
     some = docs.where(col(id).isNotNull() & col(lang).isNotNull()).select(col(id).alias("id")).orderBy(F.xxhash64("id"), "id").limit(rows).distinct()
-    got = docs.select(col(id).alias("id"), col(text).alias("text"), col(lang).cast("string").alias("lang")).join(F.broadcast(some), "id").toArrow()
+    rows_ = docs.where(col(lang).isNotNull()).select(col(id).alias("id"), F.struct(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang")).alias("x"))
+    one = rows_.join(F.broadcast(some), "id").groupBy("id").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    got = one.select("x.*").toArrow()
     return Filter.of(profiles(got["text"].to_pylist(), got["lang"].to_pylist()))
 
 
