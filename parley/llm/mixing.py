@@ -11,30 +11,35 @@
    rows within a block are permuted too. Blocks beyond the quota are dropped before anything moves.
 4. Each shard is shuffled locally.
 
-The tree is on the driver, sources times shards in size; there are at most about 2**20 blocks, so no
-window or table grows beyond that but in proportion to sources.
+The tree is on the driver, sources times shards in size, and at most TREE numbers: beyond, and beyond SHARDS shards, shards have more rows.
+There are at most about 2**20 blocks, so no window or table grows beyond that but in proportion to sources. Draws are exact for populations of any size.
 
 Defined cases. A null source is a source of its own, and takes part like any other. A weight that is
-missing from given weights is 0; without positive weights the result is empty. Null ids share a block.
-Repeated rows count as rows. An empty table gives an empty result.
+missing from given weights is 0; without positive weights the result is empty. Rows fall into blocks by id and a hash of the other columns, so
+null ids and repeated ids don't crowd one; rows alike in id fall in order of that hash, and rows alike in all may change places. Empty, null and very long texts are rows
+like others, and no text is looked at. Ids are of any type. Repeated rows count as rows. Columns of any name are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, read, ship, small
+from .common import col, fresh, read, rest_hash, ship, small
 
 SHARE = 0.8
 BLOCK = 256
 SHARD_ROWS = 8192
 SEED = 42
 BROADCAST_BYTES = 32 << 20
-#: numpy draws from populations of less than 1e9; larger ones are drawn in units of several rows.
-_POPULATION = 500_000_000
+SHARDS = 1 << 16
+TREE = 1 << 22
+#: numpy draws from populations of less than this.
+_NUMPY = 10**9
 
 
 def quotas(counts: np.ndarray, weights: np.ndarray, total: int) -> np.ndarray:
@@ -59,32 +64,46 @@ def quotas(counts: np.ndarray, weights: np.ndarray, total: int) -> np.ndarray:
     return q
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows, drawn from good + bad without putting any back, are good."""
+    if good + bad < _NUMPY:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(high, max(low, (good + 1) * (n + 1) // (good + bad + 2)))
+    sd = math.sqrt(max(1.0, n * (good / (good + bad)) * (bad / (good + bad)) * max(1, good + bad - n) / (good + bad)))
+    a, b = max(low, int(mode - 12 * sd - 20)), min(high, int(mode + 12 * sd + 20))  # beyond, less than 1e-30 of the weight
+    k = np.arange(a, b, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))  # log p(k + 1) / p(k)
+    p = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.cumsum(np.exp(p - p.max()))
+    return a + int(np.searchsorted(p, rng.random() * p[-1], "right"))
+
+
 def split(q: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
     """How many rows of each source (column) go to each shard (row); rows sum to sizes, columns to q."""
-    unit = 1 + int(q.sum()) // _POPULATION
-    rest = q % unit
     out = np.zeros((len(sizes), len(q)), np.int64)
-    todo = [(0, len(sizes), q // unit)]
-    room = _whole(sizes, unit, int((q // unit).sum()))
+    ahead = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    todo = [(0, len(sizes), np.asarray(q, np.int64))]
     while todo:
         a, b, have = todo.pop()
         if b - a == 1:
-            out[a] = have * unit
+            out[a] = have
             continue
         m = (a + b) // 2
         rng = np.random.default_rng([seed, a, b])
-        left = rng.multivariate_hypergeometric(have, int(room[a:m].sum()), method="marginals") if len(have) else have
+        draw, rest = int(ahead[m] - ahead[a]), int(have.sum())
+        if rest < _NUMPY:
+            left = rng.multivariate_hypergeometric(have, draw, method="marginals") if len(have) else have
+        else:
+            left = np.zeros_like(have)
+            for s, n in enumerate(have.tolist()):
+                rest -= n
+                left[s] = hypergeometric(rng, n, rest, draw)
+                draw -= int(left[s])
         todo += [(a, m, left), (m, b, have - left)]
-    out[-1] += rest
     return out
 
 
-def _whole(sizes: np.ndarray, unit: int, total: int) -> np.ndarray:
-    room = np.asarray(sizes, np.int64) // unit
-    room[: total - int(room.sum())] += 1
-    return room
-
-
 def _key(source: str) -> Column:
     return F.when(col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col(source).cast("string")))
 
@@ -101,14 +120,15 @@ def placed(docs: DataFrame, id: str = "doc_id", source: str = "source", weights:
     w = np.array([1.0 if given is None else max(0.0, float(given.get(k, 0))) for k in names])
     q = quotas(have, w, int(have.sum() * share))
     total = int(q.sum())
-    shards = max(1, -(-total // shard_rows))
+    shards = max(1, min(-(-total // shard_rows), SHARDS, TREE // max(1, len(names))))
     sizes = np.diff(np.arange(shards + 1) * total // shards)
     tree = split(q, sizes, seed)
     bounds = {k: np.concatenate([[0], np.cumsum(tree[:, i])]) for i, k in enumerate(names)}
     per = max(block, int(have.sum()) >> 20)
     plan = spark.createDataFrame([(k, int(q[i]), max(1, int(-(-have[i] // per)))) for i, k in enumerate(names)], f"`{key}` string, `{limit}` long, `{blocks_}` long")
     plan = small(plan, len(names), 64, BROADCAST_BYTES)
-    u = F.xxhash64(F.lit(seed), col(id))
+    rest = rest_hash(docs, id, source)
+    u = F.xxhash64(F.lit(seed), col(id), rest)
     rows = keyed.join(plan.where(col(limit) > 0), key).withColumn(blk, F.pmod(F.xxhash64(F.lit(seed + 1), u), col(blocks_)))
     ahead = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), col(key), col(blk)), blk).rowsBetween(Window.unboundedPreceding, -1)
     table = rows.groupBy(key, blk, limit).agg(F.count("*").alias(n)).withColumn(start, F.coalesce(F.sum(n).over(ahead), F.lit(0))).where(col(start) < col(limit))
@@ -126,8 +146,7 @@ def placed(docs: DataFrame, id: str = "doc_id", source: str = "source", weights:
 
     table = table.select(key, blk, start, n).mapInPandas(draw, f"`{key}` string, `{blk}` long, `{start}` long, `{shard}` int, `{cuts}` array<long>")
     table = small(table, sum(-(-int(h) // per) for h in have), 64, BROADCAST_BYTES)
-    rest = [F.xxhash64(col(c)) for c, kind in docs.dtypes if c not in (id, source) and "map<" not in kind and "variant" not in kind]
-    within = Window.partitionBy(key, blk).orderBy(u, col(id), *rest)
+    within = Window.partitionBy(key, blk).orderBy(u, col(id), rest)
     out = rows.join(table, [key, blk]).withColumn(rank, col(start) + F.row_number().over(within) - 1).where(col(rank) < col(limit))
     out = out.withColumn(shard, col(shard) + F.size(F.filter(col(cuts), lambda c: c <= col(rank))))
     out = out.withColumn(order, F.xxhash64(F.lit(seed + 2), col(key), col(rank)))
