@@ -13,10 +13,11 @@ within MIN_Z standard errors of the average, carry no weight: so thousands of in
 long document don't drown one that tells. Scoring sees every document whole.
 
 Defined cases. A null text counts as empty. An empty text has structure and metadata features only.
-Null metadata is a value of its own; metadata columns that are missing count as null. Labels that
-are null are left out; of several labels of a document the greatest counts. With no labelled rows,
+Texts of any length are read whole, a slice of rows at a time. Null metadata is a value of its own; metadata columns that are missing count as null. Labels that
+are null are left out; of several labels of a document the greatest counts, and of several documents of an id the one of the least hash. Ids are of any type that labels have too; null ids are scored and not learnt from. With no labelled rows,
 or labels of one kind only, nothing can be learnt: that machine passes every document (quality 1,
-toxicity 0). Repeated rows get equal scores. Columns of any name are left alone.
+toxicity 0). Repeated rows get equal scores. Ties: a score at a threshold passes for quality and not for toxicity. An empty table gives an empty
+result. Columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -241,7 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     ship(docs.sparkSession)
     some = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select(col(id).alias("doc_id"), *(c.alias(f"f{k}") for k, c in enumerate(_inputs(docs, text)))).join(F.broadcast(some), "doc_id")
+    x = F.struct(*(c.alias(f"f{k}") for k, c in enumerate(_inputs(docs, text))))
+    picked = docs.select(col(id).alias("doc_id"), x.alias("x")).join(F.broadcast(some), "doc_id")
+    picked = picked.groupBy("doc_id", "q", "t").agg(F.min_by("x", F.xxhash64("x")).alias("x")).select("doc_id", "q", "t", "x.*")  # one of the rows of an id
     codes = F.arrow_udf(_codes, "array<int>")
     got = picked.select("doc_id", "q", "t", codes(*(f"f{k}" for k in range(1 + len(METADATA)))).alias("x")).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
