@@ -3,18 +3,20 @@
 A text is halved until its pieces are small; each leaf is encoded by itself, and neighbours are
 joined upwards. A join re-encodes a window around the seam and keeps the tokens outside it. The
 window grows on both sides until it reaches a place where the tokens outside are proved stable:
-between a character that is no white space and a white-space character. The pre-tokenizer's
+between a character that is no white space and a white-space character, or between a letter, a digit and another
+sign that aren't of one kind (but for an apostrophe before a letter). The pre-tokenizer's
 pattern has no alternative that goes on from the one to the other, and looks no further than the
 next character, so in any text a pre-token ends exactly there whatever stands further on either
-side, and BPE never merges across pre-tokens. Where a side has no such place, the window takes that
+side, and BPE never merges across pre-tokens. Kinds are told for characters that every version of Unicode has alike. Where a side has no such place, the window takes that
 side whole. The operation is associative with the empty text as its unit, and gives the tokens of
 the whole text's encoding. Decoding concatenates the bytes of tokens up the same tree.
 
 The vocabulary is a file of ranks (base64 token, rank); its path is a parameter. A long text is
 one row: its pieces are encoded in turn by the task that has it, in memory linear in its length.
 
-Defined cases. Null text: null tokens, null count, round_trip null. Empty text: no tokens. Repeated
-rows are encoded alike. An empty table gives an empty result.
+Defined cases. Null text: null tokens, null count, round_trip null. Empty text: no tokens. Texts of any length are encoded whole. Repeated
+rows are encoded alike; ids are of any type, and null ids are kept. Ties: of equal ranks the leftmost pair is merged first. Other columns, of
+whatever name, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,8 +87,21 @@ class Codec:
         return self.decode(tokens[:m]) + self.decode(tokens[m:])
 
 
+def _kind(c: str) -> int:
+    """1: a letter, 2: a digit, 3: another sign; 0: not told, or white space."""
+    if c < "\x80":
+        return 1 if c.isalpha() else 2 if c.isdigit() else 3 if "!" <= c <= "~" else 0
+    if "\u4e00" <= c <= "\u9fa5" or "\u3041" <= c <= "\u3096" or "\u30a1" <= c <= "\u30fa" or "\uac00" <= c <= "\ud7a3" or "\u0430" <= c <= "\u044f" or "\u0620" < c <= "\u063a":
+        return 1
+    return 3 if c in "\u3001\u3002\uff0c\uff01\uff1a\uff1b\uff1f\u300c\u300d" else 0
+
+
 def _stable(text: str, k: int) -> bool:
-    return text[k] in _BREAKS and not text[k - 1].isspace()
+    a, b = text[k - 1], text[k]
+    if b in _BREAKS:
+        return not a.isspace()
+    x, y = _kind(a), _kind(b)
+    return x > 0 and y > 0 and x != y and not (a == "'" and y == 1)
 
 
 def _stable_before(text: str, a: int, m: int) -> int:
