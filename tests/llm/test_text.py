@@ -31,11 +31,34 @@ def test_credit_against_sets():
     m = f.lookup(g)
     for l, name in enumerate(f.languages):
         true = np.isin(g, prof[name])
-        assert ((m >> l & 1)[true] == 1).all()  # no false negatives
+        assert ((m[0] >> l & 1)[true] == 1).all()  # no false negatives
         c = f.credit(g, first)[:, l]
         assert np.allclose(c[1:], [(np.isin(g[a:b], prof[name]).sum()) for a, b in zip(first[1:-1], first[2:])], atol=0.1)
 
 
+def test_forty_languages(spark):
+    """Against plain sets, with more languages than a word has bits."""
+    rng = random.Random(9)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)] for k in range(40)}
+    rows = [(i, " ".join(rng.choice(words[l]) for _ in range(30)), l) for i, l in enumerate(sorted(words) * 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(d)
+    assert len(model.languages) == 40 and model.masks.shape[0] == 2
+    got = {r.doc_id: r for r in language_id.identify(d, model).collect()}
+    prof = language_id.profiles([t for _, t, _ in rows], [l for *_, l in rows])
+    for i, t, l in rows:
+        g = language_id.grams(*textops.raw(pa.array([t], pa.large_string())))[0]
+        held = {name: np.isin(g, p).sum() for name, p in prof.items()}
+        assert got[i].language == l == max(held, key=held.get) and abs(got[i].share - held[l] / len(g)) < 0.1
+
+
+def test_a_repeated_id_is_learnt_once(spark):
+    d = spark.createDataFrame([(1, "some text here", "en", "s", 14)] * 50 + [(2, "andere worte hier", "de", "s", 17)] * 3, "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_fm.train(d, labels, rows=2) and quality_fm.classify(d, labels).count() == 53
+    assert language_id.identify(d, language_id.train(d)).count() == 53
+
+
 def test_language_cases(awkward, nothing):
     model = language_id.train(awkward)
     rows = {(r.doc_id, r.n_grams): r for r in language_id.identify(awkward, model).collect()}
@@ -105,6 +128,43 @@ def test_stretches_change_nothing(crf):
         assert pii_crf.entities(crf, t) == whole
 
 
+def test_long_spans(crf):
+    rng = random.Random(1)
+    for n in (158, 161, 200, 400, 5000):
+        h = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        t = f'see token = "{h}" and so on'
+        assert pii_crf.entities(crf, t) == [("SECRET", 13, 13 + n)]
+    mail = "a" * 150 + ".b@mail-host.example.com"
+    assert pii_crf.entities(crf, f"write to {mail} now") == [("EMAIL", 9, 9 + len(mail))]
+
+
+def test_secrets_of_letters(crf):
+    t = 'login with password = "CorrectHorseBattery" today'
+    assert pii_crf.entities(crf, t) == [("SECRET", 23, 42)]
+    assert pii_crf.entities(crf, "the word password has eight letters, and a key: it opens doors") == []
+
+
+def test_what_is_settled_is_put_out_early(crf, monkeypatch):
+    """The same labelling, and the same scores, as by definition; and long runs of digits in memory of what is open."""
+    rng = random.Random(6)
+    texts = [" ".join(pii_crf.sentence(rng)[0] for _ in range(8)) for _ in range(12)] + ["1 2 3-4 " * 300, "12 " * 500 + "a@b.example.com"]
+    whole = [pii_crf.entities(crf, t) for t in texts]
+    monkeypatch.setattr(pii_crf, "_OPEN", 7)
+    assert [pii_crf.entities(crf, t) for t in texts] == whole and sum(map(len, whole)) > 20
+    for t in texts[:3]:
+        lattice = pii_crf.Lattice(t)
+        slow = {(i, j): s for (i, j, _), s in zip(lattice.segments, crf.scores(lattice))}
+        fast = {(i, j): s for i, own in enumerate(crf.scored(lattice)) for j, s in own}
+        assert slow.keys() == fast.keys() and all(np.allclose(slow[k], fast[k]) for k in slow)
+
+
+def test_repeated_rows_and_other_columns(spark, crf):
+    rows = [("x", "mail me: jo.doe@host.example", 1)] * 3 + [(None, "mail me: jo.doe@host.example", 2), ("y", None, 3)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, start int")
+    got = sorted(map(tuple, pii_crf.find_private(d, model=crf).collect()), key=str)
+    assert got == sorted([(None, "EMAIL", 9, 28)] + [("x", "EMAIL", 9, 28)] * 3, key=str)
+
+
 def test_private_data(spark, crf, awkward, nothing):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r.doc_id: r.text for r in d.collect()}
@@ -318,7 +378,7 @@ def test_the_model_grows_with_the_corpus():
 
 def test_runs_do_not_depend_on_batches():
     rng = random.Random(2)
-    texts = [None if k % 11 == 0 else " ".join(str(rng.random()) for _ in range(rng.choice([0, 3, 900]))) for k in range(300)]
+    texts = [None if k % 11 == 0 else " ".join(f"{rng.random():.9f}" for _ in range(rng.choice([0, 3, 900]))) for k in range(300)]
     cut = lambda n: [pa.record_batch({"t": pa.array(texts[a : a + n], pa.string())}) for a in range(0, 300, n)]
     whole, parts = list(lm_pseudo._runs(cut(300), 2000)), list(lm_pseudo._runs(cut(7), 2000))
     assert len(whole) > 5 and len(whole) == len(parts) and all((a == c).all() for (a, _), (c, _) in zip(whole, parts))
@@ -339,6 +399,25 @@ def test_tree_equals_whole_text_encoding(documents):
             assert np.array_equal(got, whole.piece(t) if t else got) and c.decode(got) == t.encode()
 
 
+def test_stable_places_in_text_without_blanks():
+    """Letters, digits and signs in a row, Chinese and base64 among them: the same tokens, from small windows."""
+    rng, whole = random.Random(4), bpe.Codec()
+    kinds = ["\u4e2d\u6587\u5b57", "\u3002\uff0c", "abcXYZ", "0189", "+/=-'", "'s", "'ll", "\u0434\u0430", "\u3042\u30a2", "\uac00", "\u00e9", "\u20ac", "\u0661", "\u2167"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(2, 400))) for _ in range(300)]
+    texts += ["".join(rng.choice("ABCdef0123456789+/") for _ in range(60_000)), "".join(rng.choice("\u4e2d\u6587\u5b57\u7684\u4e86\u662f\u3002") for _ in range(30_000))]
+    for leaf in (1, 7, 512):
+        c, seen = bpe.Codec(leaf=leaf), 0
+        for t in texts if leaf > 1 else texts[:300]:
+            assert np.array_equal(c.encode(t), whole.piece(t))
+    c = bpe.Codec(leaf=512)
+    encoded, piece = [], c.piece
+    c.piece = lambda t: encoded.append(len(t)) or piece(t)
+    for t in texts[300:]:
+        encoded.clear()
+        c.encode(t)
+        assert sum(encoded) < 1.6 * len(t)
+
+
 def test_join_is_associative():
     c, t = bpe.Codec(leaf=10**9), "it's a  test 'll of\n\n joining 123abc  pieces"
     for i in range(1, len(t)):
@@ -381,6 +460,55 @@ def test_tree_is_exact_and_hypergeometric():
     assert abs(some[:, 0, 0].mean() - sizes[0] * q[0] / n) < 0.3 and abs(some[:, 0, 0].var() / var - 1) < 0.3
 
 
+def test_large_populations_are_split_exactly():
+    q, sizes = np.array([600_000_001, 400_000_001]), np.array([500_000_001, 500_000_001])
+    some = np.stack([mixing.split(q, sizes, seed) for seed in range(12)])
+    assert (some.sum(2) == sizes).all() and (some.sum(1) == q).all() and len(set(some[:, 0, 0].tolist())) > 8
+    big = np.array([3 * 10**10, 10**10, 7])
+    got = mixing.split(big, np.array([10**10 + 1, 10**10 - 1, 10**10, 10**10 + 7]))
+    assert (got.sum(0) == big).all() and got.sum(1).tolist() == [10**10 + 1, 10**10 - 1, 10**10, 10**10 + 7]
+
+
+def test_large_draws_have_the_distribution(monkeypatch):
+    """The sampler for large populations against numpy's, where both can draw."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((30, 50, 20), (5, 1000, 990), (2000, 3000, 1500)):
+        want = rng.hypergeometric(good, bad, n, 4000)
+        monkeypatch.setattr(mixing, "_NUMPY", 0)
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+        assert abs(got.mean() - want.mean()) < 5 * want.std() / 60 and abs(got.std() / want.std() - 1) < 0.1
+    assert mixing.hypergeometric(rng, 10, 0, 4) == 4 and mixing.hypergeometric(rng, 0, 10, 4) == 0 and mixing.hypergeometric(rng, 5, 5, 0) == 0
+
+
+def test_placing_by_definition(spark):
+    """Blocks and draws again in plain Python: the same rows in the same shards and places."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None])) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    got = {r.doc_id: (r.shard, r.position) for r in mixing.mix(d, shard_rows=50, block=16).collect()}
+    keys = sorted({"-" if s is None else f"+{s}" for _, s in rows})
+    have = [sum(("-" if s is None else f"+{s}") == k for _, s in rows) for k in keys]
+    q = mixing.quotas(have, [1] * len(keys), int(0.8 * len(rows)))
+    shards = -(-int(q.sum()) // 50)
+    sizes = np.diff(np.arange(shards + 1) * int(q.sum()) // shards)
+    tree = mixing.split(q, sizes)
+    hashed = {}
+    for r in d.selectExpr("doc_id", "coalesce('+' || source, '-') AS k", f"xxhash64({mixing.SEED}, doc_id, 0L) AS u").selectExpr("*", f"xxhash64({mixing.SEED + 1}, u) AS b").collect():
+        hashed[r.doc_id] = r
+    order = {(r.k, r.b): r.h for r in spark.createDataFrame([(k, b) for k in keys for b in range(64)], "k string, b long").selectExpr("k", "b", f"xxhash64({mixing.SEED}, k, b) AS h").collect()}
+    want = {}
+    for s, k in enumerate(keys):
+        blocks = max(1, -(-have[s] // 16))
+        mine = sorted((r for r in hashed.values() if r.k == k), key=lambda r: (order[k, r.b % blocks], r.b % blocks, r.u, r.doc_id))
+        cuts = np.cumsum(tree[:, s])
+        for rank, r in enumerate(mine[: int(q[s])]):
+            want[r.doc_id] = int(np.searchsorted(cuts, rank, "right"))
+    assert {i: s for i, (s, _) in got.items()} == want
+    for s in range(shards):
+        assert sorted(p for t, p in got.values() if t == s) == list(range(int(sizes[s])))
+
+
 def test_mix(documents, awkward, nothing):
     got = mixing.mix(documents, shard_rows=30, block=8).collect()
     n = documents.count()
