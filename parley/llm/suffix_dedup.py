@@ -6,25 +6,25 @@ A word is a run of characters other than ASCII white space; passages are compare
    least hash of the 8-word grams within its first LENGTH words. Suffixes that begin with the same LENGTH words
    have the same key, and neighbours in a document mostly share theirs, so keys stand for runs of
    some 20 suffixes. Only runs whose key another document has too go on, which loses nothing.
-2. The words of these runs are sent to the task that owns the key. Alike records are kept once.
-   Over the others a suffix array is built by two-stage sorting: suffixes smaller than
+2. A run with its words is a record. Equal records (by key, length and a 64-bit hash of their words) are kept once, with the two least ids that have them; one document
+   of each sends its words to the task that owns the key. There a suffix array is built over the distinct records by two-stage sorting: suffixes smaller than
    their successors are sorted directly, and one scan of the buckets induces the rest.
 3. Common prefixes of adjacent suffixes are computed; where one is shorter than LENGTH a class of
    suffixes with equal beginnings ends. Suffixes of classes with two and more documents are repeats.
-4. Neighbouring repeats of a document with the same partner are joined into passages.
+4. Stretches of repeats are given to all rows that have the record. Neighbouring stretches of a document with the same partner are joined into passages.
 
 The partner named with a passage is the least doc_id among the other documents that have it.
 
-Defined cases. Null or short texts have no suffixes; null ids are left out. A passage that repeats
-within one document only is no repeat. Repeated rows (one id) are one document. An empty table gives
-an empty result. Work and memory of a task follow its groups; a key that very many documents have is
-one group, of which only distinct records are sorted.
+Defined cases. Null, empty or short texts have no suffixes; null ids are left out. Texts of any length are taken whole. Ids may be of any type that has an order. A passage that repeats
+within one document only is no repeat. Repeated rows (one id) are one document. Ties: of partners the least id is named. Other columns, of whatever name, are not looked at. An empty table gives
+an empty result. All counting by key and record is combined before the shuffle, so a passage that very many documents share is a few narrow rows; work and memory of a task follow the distinct records of its keys.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,24 +140,26 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return lcp
 
 
-def repeats(doc: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, pieces: pa.Array, length: int = LENGTH):
-    """(doc, other, from, to) of stretches of repeated suffixes, of records grouped by key."""
-    buf, offs = textops.raw(pieces)
-    record = textops.mix(textops.hashes(buf, offs[:-1], offs[1:]) + n.astype(np.uint64))
-    order = np.lexsort((record, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (record[order][1:] != record[order][:-1]) | (key[order][1:] != key[order][:-1])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1  # the distinct record of each
-    one = order[new]  # a record of each kind
-    kinds = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[one][1:] != key[one][:-1]])), len(one)))
-    several = np.repeat(kinds > 1, kinds)
-    # the class of suffix o of kind u is cls[base[u] + o]
-    base = np.concatenate([[0], np.cumsum(n[one])])
-    cls = np.arange(base[-1])
-    sort = np.flatnonzero(several)
+def hashed_runs(h: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of the words of each run, by prefix sums."""
+    p = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * textops._powers(textops._R, len(h)), out=p[1:])
+    a = first[row] + start
+    back = textops._powers(textops._RINV, len(h) + 1)[a]
+    return textops.mix((p[a + n + length - 1] - p[a]) * back + n.astype(np.uint64))
+
+
+def repeats(key: np.ndarray, n: np.ndarray, pieces: pa.Array, least: np.ndarray, second: np.ndarray, length: int = LENGTH):
+    """(record, from, to, least, second) of stretches of suffixes of distinct records, grouped by key, that two documents have.
+
+    least and second: of the documents that have a record, the two least, as numbers in their order (second -1: there is one).
+    """
+    kinds = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
+    base = np.concatenate([[0], np.cumsum(n)])
+    cls = np.arange(base[-1])  # the class of suffix o of record r is cls[base[r] + o]
+    sort = np.flatnonzero(np.repeat(kinds > 1, kinds))
     if len(sort):
-        p = pieces.take(pa.array(one[sort]))
+        p = pieces.take(pa.array(sort))
         b, o = textops.raw(p)
         s, e, first = textops.words(b, o)
         h = textops.hashes(b, s, e)
@@ -169,42 +171,38 @@ def repeats(doc: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray,
         t[np.arange(len(h)) + row] = rank + len(sort)
         t[at + count] = np.arange(len(sort))[::-1]  # the very last mark is the least symbol
         sa = suffix_array(t)
-        m = n[one[sort]]
+        m = n[sort]
         of = np.repeat(np.arange(len(sort)), count + 1)
         off = np.arange(len(t)) - at[of]
         sa = sa[off[sa] < m[of[sa]]]  # suffixes that these keys answer for
         lcp = common_prefixes(t, sa, length)
-        group = np.cumsum(lcp < length)
-        cls[base[sort[of[sa]]] + off[sa]] = base[-1] + group
-    total = n
-    rec = np.repeat(np.arange(len(doc)), total)
-    off = np.arange(len(rec)) - np.repeat(np.cumsum(total) - total, total)
-    c, d, pos = cls[base[kind[rec]] + off], doc[rec], start[rec] + off
+        cls[base[sort[of[sa]]] + off[sa]] = base[-1] + np.cumsum(lcp < length)
+    rec = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(rec)) - base[rec]
+    two = second[rec] >= 0
+    c, d = np.concatenate([cls, cls[two]]), np.concatenate([least[rec], second[rec][two]])
     order = np.lexsort((d, c))
-    c, d, pos = c[order], d[order], pos[order]
-    head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(c))))
-    least = d[head][of]
-    second = np.full(len(head), np.iinfo(np.int64).max)
-    other = np.flatnonzero(d != least)
-    np.minimum.at(second, of[other], d[other])
-    partner = np.where(d == least, second[of], least)
-    ok = partner != np.iinfo(np.int64).max
-    d, partner, pos = d[ok], partner[ok], pos[ok]
-    order = np.lexsort((pos, partner, d))
-    d, partner, pos = d[order], partner[order], pos[order]
-    if not len(d):
-        return d, partner, pos, pos
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (partner[1:] != partner[:-1]) | (pos[1:] > pos[:-1] + 1)])
-    at = np.flatnonzero(new)
-    return d[at], partner[at], pos[at], pos[np.append(at[1:], len(d)) - 1]
+    c, d = c[order], d[order]
+    one = np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+    c, d = c[one], d[one]
+    head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    more = np.diff(np.append(head, len(c))) > 1
+    at = np.searchsorted(c[head], cls)
+    low, high = d[head][at], np.where(more, d[np.minimum(head + 1, len(d) - 1)], -1)[at]
+    ok = high >= 0
+    rec, off, low, high = rec[ok], off[ok], low[ok], high[ok]
+    if not len(rec):
+        return rec, off, off, low, high
+    begin = np.flatnonzero(np.concatenate([[True], (rec[1:] != rec[:-1]) | (off[1:] != off[:-1] + 1) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    return rec[begin], off[begin], off[np.append(begin[1:], len(rec)) - 1], low[begin], high[begin]
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, start_word, n_words, other_doc_id) of every passage of at least length words that another document has."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.where(col(id).isNotNull() & col(text).isNotNull()).select(F.xxhash64(col(id), col(text)).alias("uid"), col(id).cast("long").alias("id"), col(text).alias("text"))
+    kind = docs.select(col(id)).dtypes[0][1]
+    d = docs.where(col(id).isNotNull() & col(text).isNotNull()).select(F.xxhash64(col(id), col(text).cast("string")).alias("uid"), col(id).alias("id"), col(text).cast("string").alias("text"))
 
     def find(batches):
         for b in batches:
@@ -212,18 +210,23 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
             for i, j in textops.slices(b["text"]):
                 buf, offsets = textops.raw(b["text"].slice(i, j - i))
                 starts, ends, first = textops.words(buf, offsets)
-                row, start, n, key = runs(textops.hashes(buf, starts, ends), first, length)
+                h = textops.hashes(buf, starts, ends)
+                row, start, n, key = runs(h, first, length)
+                record = hashed_runs(h, first, row, start, n, length)
                 r = pa.array(row + i)
-                yield pa.record_batch({"uid": uid.take(r), "id": ids.take(r), "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64)})
-
-    found = d.mapInArrow(find, "uid long, id long, start int, n int, key long")
-    w = Window.partitionBy("key")
-    shared = found.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).where("low <> high")
-    by_doc = stored(shared.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "key")).alias("runs")), "suffix-runs")
+                yield pa.record_batch({"uid": uid.take(r), "id": ids.take(r), "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64), "record": record.view(np.int64)})
+
+    found = stored(d.mapInArrow(find, f"uid long, id {kind}, start int, n int, key long, record long"), "suffix-found")
+    records = found.groupBy("key", "record", "n").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("uid", "start")).alias("at"))
+    records = stored(records, "suffix-records")
+    shared = records.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low <> high").select("key")
+    records = stored(records.join(shared, "key", "left_semi"), "suffix-shared")
+    members = stored(found.join(records.select("key", "record", "least"), ["key", "record"]).select("key", "record", "id", "start", "least"), "suffix-members")
+    second = members.where("id <> least").groupBy("key", "record").agg(F.min("id").alias("second"))
+    run = F.struct(F.col("at.start").alias("start"), "n", "key", "record", "least", "second")
+    by_doc = stored(records.join(second, ["key", "record"], "left").groupBy("at.uid").agg(F.collect_list(run).alias("runs")), "suffix-runs")
     flagged = by_doc.select("uid")
-    n_docs = flagged.count()
-    with_runs = d.join(F.broadcast(flagged), "uid", "left_semi") if n_docs * 16 <= BROADCAST_BYTES else d
-    with_runs = with_runs.join(by_doc, "uid")
+    with_runs = d.join(small(flagged, flagged.count(), 16, BROADCAST_BYTES), "uid", "left_semi").dropDuplicates(["uid"]).join(by_doc, "uid")
 
     def cut(batches):
         for b in batches:
@@ -238,18 +241,25 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
                 low, high = starts[first[row] + start], ends[first[row] + start + n + length - 2]
                 data = buf.tobytes()
                 pieces = [data[x:y] for x, y in zip(low.tolist(), high.tolist())]
-                yield pa.record_batch({"key": r.field("key"), "id": part["id"].take(pa.array(row)), "start": r.field("start"), "n": r.field("n"), "piece": pa.array(pieces, pa.binary())})
+                yield pa.record_batch({"piece": pa.array(pieces, pa.binary())} | {c: r.field(c) for c in ("key", "record", "n", "least", "second")})
 
-    records = with_runs.select("id", "text", "runs").mapInArrow(cut, "key long, id long, start int, n int, piece binary")
-    owned = records.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    pieces = with_runs.select("text", "runs").mapInArrow(cut, f"piece binary, key long, record long, n int, least {kind}, second {kind}")
+    owned = pieces.repartition(partitions(spark), "key").sortWithinPartitions("key")
 
     def sort(batches):
         for t, _ in whole_groups(batches, ["key"], 8 << 20):
-            x = [t[c].to_numpy().astype(np.int64) for c in ("id", "start", "n", "key")]
-            doc, other, low, high = repeats(*x, t["piece"].combine_chunks().cast(pa.large_binary()).view(pa.large_string()), length)
-            yield pa.record_batch({"doc": doc, "other": other, "low": low, "high": high})
-
-    part = owned.mapInArrow(sort, "doc long, other long, low long, high long")
+            t = t.combine_chunks()
+            least, second = (t[c].combine_chunks() for c in ("least", "second"))
+            ids = pc.unique(pa.concat_arrays([least, second])).drop_null()
+            ids = ids.take(pc.sort_indices(ids))
+            number = lambda a: pc.fill_null(pc.index_in(a, ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = t["piece"].combine_chunks().cast(pa.large_binary()).view(pa.large_string())
+            r, low, high, one, two = repeats(t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), text, number(least), number(second), length)
+            yield pa.record_batch({"key": t["key"].combine_chunks().take(pa.array(r)), "record": t["record"].combine_chunks().take(pa.array(r)), "low": low, "high": high, "one": ids.take(pa.array(one)), "two": ids.take(pa.array(two))})
+
+    found_in = owned.mapInArrow(sort, f"key long, record long, low long, high long, one {kind}, two {kind}")
+    part = members.join(found_in, ["key", "record"])
+    part = part.select(F.col("id").alias("doc"), F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"), (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     pair = Window.partitionBy("doc", "other").orderBy("low", "high")
     joined = part.withColumn("reach", F.max("high").over(pair.rowsBetween(Window.unboundedPreceding, -1)))
     joined = joined.withColumn("new", F.when(F.col("reach").isNull() | (F.col("low") > F.col("reach") + 1), 1).otherwise(0))

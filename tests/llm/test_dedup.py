@@ -270,3 +270,17 @@ def test_repeated_passages(awkward, nothing, documents, length):
         got = list(map(tuple, suffix_dedup.repeated_passages(d, length=length).collect()))
         assert len(got) == len(set(got)) and set(got) == _passages([(r.doc_id, r.text) for r in d.collect()], length)
     assert suffix_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_passages_of_many_copies_and_ids_of_text(spark):
+    """A boilerplate in most documents, alone or within others, exact copies and repeated rows; ids are strings."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    boiler, rows = words(70), []
+    for k in range(120):
+        own = words(60)
+        rows.append((f"d{rng.integers(0, 1000):03}", " ".join(boiler if k % 3 == 0 else own[:30] + boiler + own[30:] if k % 3 == 1 else own)))
+    rows += [(f"e{k}", rows[1][1]) for k in range(5)] + [rows[0]] * 3 + [(None, rows[0][1]), ("n", None), ("s", "short")]
+    d = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    got = list(map(tuple, suffix_dedup.repeated_passages(d).collect()))
+    assert len(got) == len(set(got)) and set(got) == _passages(rows, 50) and len(got) > 80
