@@ -10,6 +10,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .plans.descriptor import with_hashes
 from .plans.engine import Engine
 
 
@@ -17,6 +18,7 @@ def main(args: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="parley")
     a.add_argument("descriptor")
     a.add_argument("--verify", action="store_true", help="check the descriptor and stop")
+    a.add_argument("--write-hashes", action="store_true", help="put the hashes that were found into the descriptor")
     a.add_argument("--verbose", action="store_true")
     o = a.parse_args(args)
     logging.basicConfig(level=logging.DEBUG if o.verbose else logging.INFO)
@@ -29,6 +31,9 @@ def main(args: list[str] | None = None) -> int:
         return 1
     if not o.verify:
         r = engine.run()
+        if o.write_hashes:
+            with open(o.descriptor, "w", encoding="utf-8") as f:
+                f.write(with_hashes(source, r.hashes))
         print(json.dumps({"progress": r.progress.to_dict(), "hashes": r.hashes, "warnings": r.warnings}, indent=1))
     return 0
 

@@ -104,12 +104,16 @@ def to_latin1(value: Column, invalid: str) -> Column:
 
 
 def _units(value: Column, top: int, invalid: str) -> Column:
-    """For replacements that are themselves above the top: each unit matched once, none matched again."""
-    pattern = f"([\\x{{10000}}-\\x{{10FFFF}}])|[^\\x00-\\x{top:02X}\\x{{10000}}-\\x{{10FFFF}}]"
-    mark = "\x01\x02"  # stands for one unit until all have been found
-    one = F.regexp_replace(value, r"[\x{10000}-\x{10FFFF}]", quoted(mark * 2))
-    one = F.regexp_replace(one, pattern, quoted(mark))
-    return F.replace(one, F.lit(mark), F.lit(invalid))
+    """For replacements that are themselves above the top: each unit is matched once, and none of a replacement."""
+    beyond, within = r"[\x{10000}-\x{10FFFF}]", f"[^\\x00-\\x{top:02X}\\x{{10000}}-\\x{{10FFFF}}]"
+    steps = [(within, invalid), (beyond, invalid * 2)]
+    if any(ord(c) > 0xFFFF for c in invalid):
+        steps.reverse()
+        if any(top < ord(c) <= 0xFFFF for c in invalid):  # neither order leaves replacements alone
+            return F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c.rlike(beyond), invalid * 2).when(c.rlike(within), invalid).otherwise(c)), "")
+    for pattern, new in steps:
+        value = F.regexp_replace(value, pattern, quoted(new))
+    return value
 
 
 def reread_utf8(text: str, invalid: str) -> str:
@@ -138,19 +142,21 @@ def on_arrays(f):
     return F.arrow_udf(run, "array<string>")
 
 
-def fixpoint(pairs: list[tuple[str, str]], limit: int = 1000, growth: int = 1000):
-    """All replacements in order, again and again until none changes anything; a text that grows without end fails as well as one that alternates."""
+def fixpoint(pairs: list[tuple[str, str]], growth: int = 1000):
+    """All replacements in order, again and again until none changes anything, however many rounds that takes; a text that comes back to what it was before fails, as well as one that grows without end."""
 
     def f(text: str) -> str:
-        most = growth * (len(text) + 1000)
-        for _ in range(limit):
+        most, mark, rounds, power = growth * (len(text) + 1000), text, 0, 1
+        while True:
             before = text
             for a, b in pairs:
                 text = text.replace(a, b)
             if text == before:
                 return text
-            if len(text) > most:
-                break
-        raise ValueError(f"replacements don't settle within {limit} rounds")
+            if text == mark or len(text) > most:
+                raise ValueError("replacements don't settle")
+            rounds += 1
+            if rounds == power:  # the mark moves on at longer and longer intervals, so that it comes to lie in any cycle
+                mark, rounds, power = text, 0, 2 * power
 
     return f

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import numbered
+from ..storage import ship
 
 SEED_TOKENS = ["[UNK]", "[PAD]", *".!-_:='", *"0123456789"]
+#: Patterns that are counted in one aggregate.
+WIDE = 64
 _METRICS = (("len", "len"), ("words", "words"), ("tokens", "tokens"))
 
 
@@ -82,6 +86,25 @@ def vocabulary(df: DataFrame, pattern: str = T.WORD_TOKENS, seed: list[str] = SE
     return spark.createDataFrame(list(zip(seed, range(len(seed)))), "token string, idx long").unionByName(new) if seed else new
 
 
+def learnt(df: DataFrame, vocab: DataFrame, pattern: str = T.WORD_TOKENS) -> DataFrame:
+    """(token, idx): vocab, and after it the tokens that it lacks by first appearance: encoding by the result adds what encoding by vocab would not know."""
+    found = F.flatten(F.transform("messages", lambda m: F.regexp_extract_all(m["value"], F.lit(pattern), F.lit(0))))
+    own = df.select("conversation_seq", F.posexplode(F.array_distinct(found)).alias("tok", "token"))
+    first = own.groupBy("token").agg(F.min_by("tok", "conversation_seq").alias("tok"), F.min("conversation_seq").alias("conversation_seq"))
+    new = numbered(first.join(vocab.select("token"), "token", "left_anti"), "conversation_seq", "tok", name="n")
+    next_ = vocab.agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).alias("next"))
+    new = new.join(F.broadcast(next_), how="cross").select("token", (F.col("n") + F.col("next")).cast("long").alias("idx"))  # one row
+    return vocab.select("token", "idx").unionByName(new)
+
+
+def spread(values: Column) -> Column:
+    """Sample standard deviation of an array of numbers; 0 of fewer than two."""
+    n = F.size(values)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    mean = total(values) / n
+    return F.when(n > 1, F.sqrt(total(F.transform(values, lambda x: (x - mean) * (x - mean))) / (n - 1))).otherwise(F.lit(0.0))
+
+
 def encoded(df: DataFrame, vocab: DataFrame, pattern: str = T.WORD_TOKENS) -> DataFrame:
     """conversation_seq, id, pos, codes: every message as an array of words (parts between spaces), each an array of token indices; 0 where unknown.
 
@@ -131,7 +154,8 @@ def stats_prune(df: DataFrame, stats: DataFrame | None = None, words_ratio_min:
 def count_occurrences(df: DataFrame, rows: list[list[str]], pattern_col: int = 0, regex: bool = False, case_sensitive: bool = True) -> DataFrame:
     """(pos, pattern, occurrences) of the first row of each pattern: non-overlapping matches over all messages.
 
-    All patterns are counted in one pass over the messages: each task keeps a sum for each, and only sums are shuffled.
+    No row is multiplied by patterns: up to WIDE are sums of their own in one aggregate, more literal ones are found by one automaton for each task,
+    more regular expressions in an aggregate for each WIDE. Only sums are shuffled.
     """
     first: dict[str, int] = {}
     for i, r in enumerate(rows):
@@ -140,16 +164,48 @@ def count_occurrences(df: DataFrame, rows: list[list[str]], pattern_col: int = 0
     spark = df.sparkSession
     if any(not p for p in first):
         raise ValueError("an empty pattern can't be counted")
-    table = spark.createDataFrame([(i, p, T.java_regex(p, case_sensitive=case_sensitive) if regex else p) for p, i in first.items()] or [], "pos int, pattern string, p string")
+    table = spark.createDataFrame([(i, p) for p, i in first.items()] or [], "pos int, pattern string")
     values = df.select(F.explode("messages").alias("m")).select(F.col("m.value").alias("v"))
     if not case_sensitive and not regex:
         values = values.select(F.lower("v").alias("v"))
-    pairs = values.crossJoin(F.broadcast(table))  # patterns are given in the plan
-    n = F.regexp_count("v", F.col("p")).cast("long") if regex else ((F.length("v") - F.length(F.replace("v", F.col("p"), F.lit("")))) / F.length("p")).cast("long")
-    counted = pairs.select("pos", n.alias("n")).groupBy("pos").agg(F.sum("n").alias("n"))
+    given = list(first.items())
+    if not regex and len(given) > WIDE:
+        counted = _by_automaton(values, given)
+    else:
+        counted = spark.createDataFrame([], "pos int, n long")
+        for at in range(0, len(given), WIDE):
+            some = given[at : at + WIDE]
+            n = [F.regexp_count("v", F.lit(T.java_regex(p, case_sensitive=case_sensitive))) if regex else (F.length("v") - F.length(F.replace("v", F.lit(p), F.lit("")))) / len(p) for p, _ in some]
+            sums = values.agg(F.array(*(F.sum(c.cast("long")) for c in n)).alias("n"))
+            part = sums.select(F.explode(F.arrays_zip(F.array(*(F.lit(i) for _, i in some)).alias("pos"), F.col("n").alias("n"))).alias("x")).select("x.pos", "x.n")
+            counted = part if at == 0 else counted.union(part)
+    counted = counted.groupBy("pos").agg(F.sum("n").alias("n"))
     return table.join(counted, "pos", "left").select("pos", "pattern", F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"))
 
 
+def _by_automaton(values: DataFrame, given: list[tuple[str, int]]) -> DataFrame:
+    """(pos, n): non-overlapping matches of each pattern by itself, from left to right; a row for each pattern and task."""
+    ship(values.sparkSession)
+
+    def count(batches):
+        import ahocorasick
+
+        found, total = ahocorasick.Automaton(), [0] * len(given)
+        for k, (p, _) in enumerate(given):
+            found.add_word(p, (k, len(p)))
+        found.make_automaton()
+        for b in batches:
+            for v in b["v"].to_pylist():
+                reach: dict[int, int] = {}
+                for end, (k, n) in found.iter(v or ""):
+                    if end - n + 1 > reach.get(k, -1):
+                        reach[k] = end
+                        total[k] += 1
+        yield pa.record_batch({"pos": pa.array([i for _, i in given], pa.int32()), "n": pa.array(total, pa.int64())})
+
+    return values.mapInArrow(count, "pos int, n long")
+
+
 def occurrence_rows(counts: DataFrame, rows: list[list[str]], count_col: int = 1, minimum: int = 0) -> DataFrame:
     """(pos, cells): the given rows with their count put in at count_col, short rows padded with empty cells."""
     table = counts.sparkSession.createDataFrame([(i, [str(c) for c in r]) for i, r in enumerate(rows)], "pos int, cells array<string>")

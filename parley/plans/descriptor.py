@@ -95,3 +95,14 @@ def parse(source: str | dict) -> Descriptor:
         artifacts = [Artifact(str(_need(a, "file", where)), a.get("sha512")) for a in (p.get("artifacts") or [])]
         passes.append(Pass(steps, required, artifacts))
     return Descriptor(passes, build, str(d.get("name", "default")), str(d.get("description", "") or ""))
+
+
+def with_hashes(source: str, hashes: dict[str, str]) -> str:
+    """The YAML text of a descriptor with the sha512 of each required file and artifact that hashes has; everything else as it is."""
+    d = yaml.safe_load(source)
+    for p in d.get("passes") or []:
+        for key, entries in (("path", p.get("required")), ("file", p.get("artifacts"))):
+            for e in entries or []:
+                if (found := hashes.get(str(e.get(key)))) is not None:
+                    e["sha512"] = found
+    return yaml.safe_dump(d, sort_keys=False, allow_unicode=True)

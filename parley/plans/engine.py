@@ -7,6 +7,7 @@ import hashlib
 import logging
 import os
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -66,12 +67,23 @@ def sha512(path: str) -> str:
         return hashlib.file_digest(f, "sha512").hexdigest()
 
 
+def logged(event: str, progress: Progress) -> None:
+    """The listener that an engine has unless it is given one."""
+    log.info("%s after %.1f s: %s", event, progress.seconds, progress.to_dict())
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, descriptor: Descriptor | dict | str, base: str = ".", registry: Registry | None = None) -> None:
+    def __init__(self, spark: SparkSession, descriptor: Descriptor | dict | str, base: str = ".", registry: Registry | None = None, listener: Callable[[str, Progress], None] | None = None) -> None:
+        """listener: told (event, progress) when the build, a pass or a step begins, a source has been read, a pass and the build are done; by default these are logged."""
         self.spark = spark
         self.descriptor = descriptor if isinstance(descriptor, Descriptor) else parse(descriptor)
         self.base, self.registry = base, registry or Registry()
         self.progress = Progress(passes_total=len(self.descriptor.passes))
+        self.listener, self.began = listener or logged, time.monotonic()
+
+    def tell(self, event: str) -> None:
+        self.progress.seconds = time.monotonic() - self.began
+        self.listener(event, self.progress)
 
     def verify(self) -> list[str]:
         """What is wrong with the descriptor, in words; nothing if all is well."""
@@ -139,6 +151,7 @@ class Engine:
         df = initial
         for k, s in enumerate(steps):
             f = self.registry[s.type](s.config, x)
+            self.tell(f"step {s.type}")
             if s.type not in _SOURCES and df is None:
                 df = empty(self.spark)
             if s.type in _TEES and k + 1 < len(steps) and keep is not None and not df.is_cached:
@@ -159,6 +172,7 @@ class Engine:
             source.observe(seen, *count()).write.format("noop").mode("overwrite").save()
             self.progress.conversations_total += seen.get["conversations"]
             self.progress.messages_total += seen.get["messages"]
+            self.tell("source read")
         df = self.build_pipeline(p.steps[at:], source, x, keep)
         df.observe(out, *count()).write.format("noop").mode("overwrite").save()  # drains what no sink has
         self.progress.conversations_processed += out.get["conversations"]
@@ -168,6 +182,7 @@ class Engine:
         for d in keep:
             d.unpersist()
         self.progress.passes_complete += 1
+        self.tell("pass done")
 
     def check_artifacts(self) -> tuple[dict[str, str], list[str]]:
         x, hashes, warnings = Context(self.spark, self.base), {}, []
@@ -185,7 +200,8 @@ class Engine:
         return hashes, warnings
 
     def run(self) -> Result:
-        began = time.monotonic()
+        self.began = time.monotonic()
+        self.tell("build begins")
         if wrong := self.verify():
             raise ValueError("; ".join(wrong))
         self.clean()
@@ -193,7 +209,8 @@ class Engine:
         hashes: dict[str, str] = {}
         for p in self.descriptor.passes:
             hashes |= self.check_requirements(p)
+            self.tell("pass begins")
             self.run_pass(p)
         made, warnings = self.check_artifacts()
-        self.progress.seconds = time.monotonic() - began
+        self.tell("build done")
         return Result(self.progress, hashes | made if self.descriptor.build.generate_hashes else {}, warnings)

@@ -10,11 +10,13 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, statistics, text
 from ..sources import readers, writers
+from ..storage import ship
 
 log = logging.getLogger("parley")
 Transform = Callable[[DataFrame | None], DataFrame]
@@ -105,6 +107,8 @@ def _chat_input(c, x):
 
 
 def _csv_output(c, x):
+    if c.get("parts", False):
+        return _parts(c, x, "CsvOutput", lambda df: writers.csv_rows(df, need(c, "fields", "CsvOutput"), bool(c.get("ignoreDuplicates", False))), "conversation_seq", "pos")
     path, fields = x.at(need(c, "path", "CsvOutput")), need(c, "fields", "CsvOutput")
     return lambda df: writers.write_csv(df, path, fields, c.get("header") or [], bool(c.get("ignoreDuplicates", False)), bool(c.get("overwrite", False)))
 
@@ -123,6 +127,8 @@ def _full_match(c, _):
 
 
 def _chat_output(c, x):
+    if c.get("parts", False):  # a folder of JSON lines, written by the executors
+        return _parts(c, x, "FastChatOutput", lambda df: writers.chat_lines(df, bool(c.get("includeMessageId", False))), "conversation_seq")
     path = x.at(need(c, "path", "FastChatOutput"))
 
     def run(df):
@@ -142,7 +148,19 @@ def _native_output(c, x):
     return run
 
 
+def _parts(c, x, kind, lines, *order):
+    path = x.uri(need(c, "path", kind))
+
+    def run(df):
+        writers.write_parts(lines(df), path, *order, end="\r\n" if kind == "CsvOutput" else "\n", zipped=bool(c.get("gZip", False)), overwrite=bool(c.get("overwrite", False)))
+        return df
+
+    return run
+
+
 def _raw_output(c, x):
+    if c.get("parts", False):
+        return _parts(c, x, "RawOutput", lambda df: writers.raw_lines(df, bool(c.get("escape", False))), "conversation_seq", "pos")
     path = x.at(need(c, "path", "RawOutput"))
     return lambda df: writers.write_raw(df, path, bool(c.get("escape", False)))
 
@@ -211,6 +229,17 @@ def read_cell_rows(spark: SparkSession, files: list[str]) -> DataFrame:
 
 
 def _stats_output(c, x):
+    if c.get("tables", False):  # Parquet tables in a folder, written by the executors
+        folder = x.uri(need(c, "path", "StatsOutput"))
+
+        def tables(df):
+            mode = "overwrite" if c.get("overwrite", False) else "error"
+            statistics.conversation_stats(df).write.mode(mode).parquet(f"{folder}/conversations")
+            statistics.corpus_stats(x.spark.read.parquet(f"{folder}/conversations")).write.mode(mode).parquet(f"{folder}/corpus")
+            statistics.vocabulary(df).write.mode(mode).parquet(f"{folder}/vocabulary")
+            return df
+
+        return tables
     path = x.at(need(c, "path", "StatsOutput"))
     indent = c.get("indent", " ")
 
@@ -276,14 +305,31 @@ def _prune(c, x):
 
     def run(df):
         path = x.at(where) if where else None
+        if path and os.path.isdir(os.path.join(path, "conversations")):  # tables
+            return prune(df, x.spark.read.parquet(f"file://{path}/conversations"))
         if path and os.path.isdir(path):
             path = os.path.join(path, "stats.json")
-        stats = read_stats(x.spark, path) if path else None
+        return prune(df, read_stats(x.spark, path) if path else None)
+
+    def prune(df, stats):
         return statistics.stats_prune(df, stats, c.get("wordsStdDevRatioMin"), c.get("wordsStdDevRatioMax"), c.get("wordsClampMin"), c.get("wordsClampMax"), c.get("messagesCountMin"), c.get("messagesCountMax"), c.get("center"))
 
     return run
 
 
+def _worked(df: DataFrame, task) -> DataFrame:
+    ship(df.sparkSession)
+    kind = df.schema
+
+    def work(batches):
+        arrow = None
+        for b in batches:
+            arrow = arrow or b.schema
+            yield pa.RecordBatch.from_pylist(task(b.to_pylist(maps_as_pydicts="lossy")), schema=arrow)
+
+    return df.mapInArrow(work, kind)
+
+
 DEFAULTS: dict[str, Builder] = {
     "Participants": _participants, "HtmlStrip": _html, "RenameParticipants": _rename, "Encoding": _encoding, "Trim": lambda c, x: text.trim, "RegexReplace": _regex_replace,
     "RegexExtract": _regex_extract, "CsvInput": _csv_input, "CsvOutput": _csv_output, "ExactReplace": _exact_replace, "FullMatch": _full_match, "FastChatInput": _chat_input,
@@ -301,6 +347,10 @@ class Registry:
     def register(self, name: str, builder: Builder) -> None:
         self._builders[name] = builder
 
+    def register_task(self, name: str, task: Callable[[dict, list[dict]], list[dict]]) -> None:
+        """A step type by a function (config, conversations) -> conversations of plain dicts, which the executors call with a batch at a time."""
+        self._builders[name] = lambda config, x: lambda df: _worked(df, lambda rows: task(config, rows))
+
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 

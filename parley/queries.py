@@ -79,17 +79,32 @@ def encoding_ascii(spark, sf_dir):
     return _values(text.encoding(with_values(chats(spark, sf_dir), lambda v: F.concat(v, F.lit("\U0001f600"))), "us-ascii", "?"))
 
 
+@query(_TURNS.format(r"regexp_replace(regexp_replace(chr(1)||chr(2)||text||chr(128512), '[\x{10000}-\x{10FFFF}]', chr(65533)||chr(65533), 'g'), '[^\x00-\x7F]', chr(65533), 'g')"))
+def encoding_default(spark, sf_dir):
+    """Under the replacement that is taken unless another is given, which is itself no ASCII; control characters stay."""
+    return _values(text.encoding(with_values(chats(spark, sf_dir), lambda v: F.concat(F.lit("\x01\x02"), v, F.lit("\U0001f600"))), "us-ascii"))
+
+
 @query(_TURNS.format(r"regexp_replace(text||chr(12354), '[^\x00-\x{FF}]', '?', 'g')"))
 def encoding_latin1(spark, sf_dir):
     return _values(text.encoding(with_values(chats(spark, sf_dir), lambda v: F.concat(v, F.lit("あ"))), "iso-8859-1", "?"))
 
 
-@query()
+_OCTETS = "regexp_extract_all(text, '[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2}|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|\\xED[\\x80-\\x9F][\\x80-\\xBF]|[\\xC2-\\xDF][\\x80-\\xBF]|[\\xF1-\\xF3][\\x80-\\xBF]{1,2}|\\xF0[\\x90-\\xBF][\\x80-\\xBF]?|\\xF4[\\x80-\\x8F][\\x80-\\xBF]?|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF]|\\xED[\\x80-\\x9F]|(?s:.)')"
+_WHOLE = "(length(t) > 1 AND ((t[1] >= chr(194) AND t[1] <= chr(223)) OR (t[1] >= chr(224) AND t[1] <= chr(239) AND length(t) = 3) OR length(t) = 4))"
+
+
+@query(_TURNS.format(f"array_to_string(list_transform({_OCTETS}, lambda t: CASE WHEN t <= chr(127) THEN t WHEN {_WHOLE} THEN decode(unhex(array_to_string(list_transform(string_split(t, ''), lambda c: printf('%02X', unicode(c))), ''))) WHEN unicode(t) > 65535 THEN '??' ELSE '?' END), '')").replace("(text,", "(text || chr(195) || chr(169) || chr(226) || chr(130) || chr(172) || chr(226) || chr(130) || chr(128512),"))
 def encoding_utf8(spark, sf_dir):
-    return _values(text.encoding(chats(spark, sf_dir), "utf-8", "?"))
+    """Every text ends with octets of two characters, a broken one, and a character beyond the octets."""
+    tail = "\u00c3\u00a9\u00e2\u0082\u00ac\u00e2\u0082\U0001f600"
+    return _values(text.encoding(with_values(chats(spark, sf_dir), lambda v: F.concat(v, F.lit(tail))), "utf-8", "?"))
 
 
-@query()
+_GONE = r"(?is)<!doctype[^>]*>|<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>|<nav[ >].*?</nav>|</?[a-z][^>]*>"
+
+
+@query(f"""SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '{_GONE}', '', 'g'), '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&amp;', '&') AS text FROM pages""")
 def html_strip(spark, sf_dir):
     pages = from_texts(table(spark, sf_dir, "pages"), "page_id", "html")
     return flat(text.html_strip(pages, anchor_patterns=["ad"], dom=["script", "style", "nav"])).select(F.col("id").alias("page_id"), F.col("value").alias("text"))
@@ -121,13 +136,14 @@ def participants_max_merge(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
+WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), role) ELSE role END AS role FROM conversations),
 s AS (SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM s)
 SELECT conv_id, min(turn) AS turn, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, run""")
 def participants_alternating(spark, sf_dir):
-    some = chats(spark, sf_dir).withColumn("messages", F.filter("messages", lambda m: m["id"] % 3 != 1))
-    return _values(filters.participants(some, alternating=True))
+    """Every third turn is given the speaker of the one before, so that there are runs to join."""
+    said = F.transform("messages", lambda m, i: m.withField("from", F.when(m["id"] % 3 == 1, F.coalesce(F.get("messages", i - 1)["from"], m["from"])).otherwise(m["from"])))
+    return _values(filters.participants(chats(spark, sf_dir).withColumn("messages", said), alternating=True))
 
 
 @query("""
@@ -231,6 +247,32 @@ def stats_prune(spark, sf_dir):
     return kept.select("id").join(stats, "id").select("id", F.col("messages_count").alias("messages"), "words_min", "words_max")
 
 
+@query(f"SELECT conv_id, round(coalesce(stddev_samp(len), 0), 6) AS spread FROM ({_STATS}) GROUP BY conv_id")
+def sample_std_dev(spark, sf_dir):
+    """Of the lengths of each conversation's messages."""
+    c = chats(spark, sf_dir)
+    return c.select(F.col("id").alias("conv_id"), F.round(statistics.spread(F.transform("messages", lambda m: T.utf16_length(m["value"]))), 6).alias("spread"))
+
+
+@query(f"WITH {_VOCAB.replace('min((conv_id, turn, tok))', 'min((conv_id % 2, conv_id, turn, tok))')} SELECT token, CAST(idx AS BIGINT) AS idx FROM v")
+def vocabulary_learnt(spark, sf_dir):
+    """Learnt from the conversations of even ids, then while encoding the others."""
+    c = chats(spark, sf_dir)
+    known = stored(statistics.vocabulary(c.where("id % 2 = 0")), "vocabulary")
+    return statistics.learnt(c.where("id % 2 = 1"), known)
+
+
+@query("""
+WITH p AS (SELECT DISTINCT unnest(string_split(lower(substr(text, 1, 400)), ' ')) AS pattern FROM benchmark),
+q AS (SELECT pattern FROM p WHERE regexp_matches(pattern, '^[a-z]{4,9}$') ORDER BY md5(pattern) LIMIT 150)
+SELECT pattern, CAST(sum((length(text) - length(replace(text, pattern, ''))) // length(pattern)) AS BIGINT) AS occurrences FROM conversations, q GROUP BY pattern""")
+def count_many_patterns(spark, sf_dir):
+    """Words of the benchmark's items, more than one aggregate counts: by an automaton. The patterns are a given list, as a descriptor's are."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower(F.substring("text", 1, 400)), " ", -1)).alias("p")).distinct().where(F.col("p").rlike("^[a-z]{4,9}$"))
+    rows = [[r.p] for r in words.orderBy(F.md5("p")).limit(150).collect()]
+    return statistics.count_occurrences(chats(spark, sf_dir), rows).select("pattern", "occurrences")
+
+
 _PATTERN_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PATTERNS))
 
 
@@ -288,23 +330,24 @@ def csv_round_trip(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT turn, conv_id, row_number() OVER (ORDER BY turn, conv_id // 2) AS n, conv_id // 2 AS c FROM conversations WHERE conv_id % 2 = 0),
-s AS (SELECT *, CASE WHEN lag(c) OVER (ORDER BY n) IS DISTINCT FROM c THEN 1 ELSE 0 END AS new FROM r), g AS (SELECT *, sum(new) OVER (ORDER BY n) AS part FROM s)
-SELECT CAST(c AS VARCHAR) AS input_id, count(*) AS messages FROM g GROUP BY c, part""")
+WITH s AS (SELECT *, turn // 2 AS half, CASE WHEN lag(conv_id) OVER (PARTITION BY turn // 2 ORDER BY conv_id, turn) IS DISTINCT FROM conv_id THEN 1 ELSE 0 END AS new FROM conversations),
+g AS (SELECT *, sum(new) OVER (PARTITION BY half ORDER BY conv_id, turn) AS part FROM s)
+SELECT CAST(conv_id AS VARCHAR) AS input_id, count(*) AS messages, md5(string_agg(role || ':' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(1) ORDER BY turn)) AS digest FROM g GROUP BY conv_id, half, part""")
 def csv_adjacent_grouping(spark, sf_dir):
-    """Turns of all conversations in turn order: an id comes back as a conversation of its own. SQL has those of even ids, in rows of their own."""
+    """All conversations two turns at a time, in several files: an id comes back as a conversation of its own."""
     path = fresh_path(spark, "csv")
     t = table(spark, sf_dir, "conversations").select("turn", F.col("conv_id").alias("c"), F.col("role").alias("from"), F.col("text").alias("value"))
     options = {"header": True, "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": "", "quoteAll": True}
-    t.orderBy(F.col("c") % 2, "turn", "c").coalesce(1).write.options(**options).csv(path)
-    back = readers.read_csv(spark, path, "c", "from", "value").where(F.col("input_id").cast("long") % 2 == 0)
-    return back.select((F.col("input_id").cast("long") / 2).cast("long").cast("string").alias("input_id"), F.size("messages").cast("long").alias("messages"))
+    half = F.floor(F.col("turn") / 2)
+    t.repartitionByRange(4, half).sortWithinPartitions(half, "c", "turn").write.options(**options).csv(path)
+    back = readers.read_csv(spark, path, "c", "from", "value")
+    digest = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["from"], F.lit(":"), m["value"])), "\x01"))
+    return back.select("input_id", F.size("messages").cast("long").alias("messages"), digest.alias("digest"))
 
 
-@query("SELECT DISTINCT role || ',' || (turn % 2) AS line FROM conversations")
+@query("""SELECT DISTINCT role || ',' || CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS line FROM conversations""")
 def csv_output_distinct(spark, sf_dir):
-    short = chats(spark, sf_dir).withColumn("messages", F.transform("messages", lambda m: m.withField("value", (m["id"] % 2).cast("string"))))
-    return writers.csv_rows(short, ["from", "value"], ignore_duplicates=True).select("line")
+    return writers.csv_rows(chats(spark, sf_dir), ["from", "value"], ignore_duplicates=True).select("line")
 
 
 @query("SELECT conv_id, turn, role, text, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS number FROM conversations")

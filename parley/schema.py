@@ -19,6 +19,8 @@ CONVERSATION = T.StructType([
 ])
 #: Bits of an order that share a bucket when rows are numbered.
 BUCKET_BITS = 16
+#: Bits of buckets that are summed up in one window.
+TOP_BITS = 24
 
 
 def no_meta() -> Column:
@@ -63,12 +65,14 @@ def with_udf_values(conversations: DataFrame, udf) -> DataFrame:
 def numbered(df: DataFrame, by: str, *then: str, name: str = "n") -> DataFrame:
     """df with the place of each row, from 0, in the order of the whole number `by` (and then `then`).
 
-    No window spans the table: rows are counted by stretches of the order, the few counts are summed up, and rows numbered
-    within their stretch.
+    No window spans the table: rows are counted by stretches of 2**16 values of the order, stretches are summed up within 2**24 of them, and these sums in turn,
+    so the widest window has 2**24 narrow rows however far apart the values lie. Rows are numbered within their stretch.
     """
-    b = df.withColumn("_bucket", F.shiftright(F.col(by), BUCKET_BITS))
-    counts = b.groupBy("_bucket").count()
-    before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # over stretches, not rows
-    base = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
+    b = df.withColumn("_bucket", F.shiftright(F.col(by).cast("long"), BUCKET_BITS))
+    counts = b.groupBy("_bucket").count().withColumn("_top", F.shiftright("_bucket", TOP_BITS))
+    tops = counts.groupBy("_top").agg(F.sum("count").alias("_sum"))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("_top", ahead(Window.orderBy("_top"), "_sum").alias("_first"))
+    base = counts.withColumn("_base", ahead(Window.partitionBy("_top").orderBy("_bucket"), "count")).join(tops, "_top").select("_bucket", (F.col("_base") + F.col("_first")).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(by, *then))
     return b.join(base, "_bucket").withColumn(name, F.col("_base") + inside - 1).drop("_bucket", "_base")

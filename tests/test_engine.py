@@ -206,3 +206,55 @@ def test_side_inputs(tmp_path):
     with gzip.open(tmp_path / "a.gz", "wt") as f:
         f.write("é,b\n")
     assert readers.read_cells(str(tmp_path / "a.csv")) == [["é", "x,y"]] and readers.read_cells(str(tmp_path / "a.gz")) == [["é", "b"]]
+
+
+def _descriptor(steps, artifacts=()):
+    return {"build": {}, "passes": [{"required": [], "steps": [{"type": "CsvInput", "config": {"path": "in.csv", "fields": {"conversation": "conv", "from": "who", "message": "say"}}}, *steps], "artifacts": [{"file": a} for a in artifacts]}]}
+
+
+def test_parts_and_tables_are_written_by_executors(spark, csv_file, tmp_path):
+    steps = [{"type": "CsvOutput", "config": {"path": "csv", "fields": ["from", "value"], "parts": True}}, {"type": "RawOutput", "config": {"path": "raw", "parts": True, "gZip": True}}]
+    steps += [{"type": "FastChatOutput", "config": {"path": "chat", "parts": True}}, {"type": "StatsOutput", "config": {"path": "stats", "tables": True}}, {"type": "StatsConversationPrune", "config": {"statsPath": "stats", "messagesCountMin": 2}}]
+    r = Engine(spark, _descriptor(steps), str(tmp_path)).run()
+    read = lambda name, op: "".join(op(f, "rt", newline="").read() for f in sorted((tmp_path / name).glob("part-*")))
+    assert read("csv", open) == 'u,"Hello, ""you"""\r\ng,"two\nlines"\r\nu,\r\nu,again\r\n'
+    assert read("raw", gzip.open) == 'Hello, "you"\ntwo\nlines\n\nagain\n'
+    assert [json.loads(x)["conversations"][0]["value"] for x in read("chat", open).splitlines()] == ['Hello, "you"', "", "again"]
+    tables = {t: spark.read.parquet(f"file://{tmp_path}/stats/{t}") for t in ("conversations", "corpus", "vocabulary")}
+    assert tables["corpus"].first().messages_total == 2 and tables["vocabulary"].where("token = 'again'").count() == 1  # the last conversation of an id counts
+    assert r.progress.conversations_processed == 0
+
+
+def test_listener_tasks_and_hashes(spark, csv_file, tmp_path):
+    from parley.plans.descriptor import with_hashes
+
+    said, registry = [], Registry()
+
+    def shout(config, conversations):
+        for c in conversations:
+            for m in c["messages"]:
+                m["value"] = m["value"].upper() + config["mark"]
+        return [c for c in conversations if c["input_id"] != "8"]
+
+    registry.register_task("Shout", shout)
+    d = _descriptor([{"type": "Shout", "config": {"mark": "!"}}, {"type": "RawOutput", "config": {"path": "out.txt"}}], ["out.txt"])
+    r = Engine(spark, d, str(tmp_path), registry, lambda event, p: said.append((event, p.messages_total))).run()
+    assert (tmp_path / "out.txt").read_text() == 'HELLO, "YOU"!\nTWO\nLINES!\nAGAIN!\n'
+    assert [e for e, _ in said] == ["build begins", "pass begins", "step CsvInput", "source read", "step Shout", "step RawOutput", "pass done", "build done"] and said[-1][1] == 4
+    text = "# a build\nbuild: {}\npasses:\n- required: []\n  steps: []\n  artifacts:\n  - file: out.txt\n  - file: other.txt\n"
+    back = parse(with_hashes(text, r.hashes)).passes[0].artifacts
+    assert back[0].sha512 == hashlib.sha512((tmp_path / "out.txt").read_bytes()).hexdigest() and back[1].sha512 is None
+
+
+def test_command_line(spark, csv_file, tmp_path, capsys):
+    import yaml
+
+    from parley.__main__ import main
+
+    path = tmp_path / "build.yaml"
+    path.write_text(yaml.safe_dump(_descriptor([{"type": "RawOutput", "config": {"path": "out.txt"}}], ["out.txt"])))
+    assert main([str(path), "--verify"]) == 0 and not (tmp_path / "out.txt").exists()
+    assert main([str(path), "--write-hashes"]) == 0 and json.loads(capsys.readouterr().out)["progress"]["messages_processed"] == 4
+    assert parse(path.read_text()).passes[0].artifacts[0].sha512
+    path.write_text(yaml.safe_dump(_descriptor([{"type": "NoSuchStep"}])))
+    assert main([str(path)]) == 1

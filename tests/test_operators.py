@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.functions.html import Selector, parse, stripper
 from parley.operators import filters, statistics, text
-from parley.schema import CONVERSATION, flat, from_turns, numbered
+from parley.schema import CONVERSATION, flat, from_texts, from_turns, numbered
 
 
 def chat(spark, *conversations):
@@ -238,3 +238,63 @@ def test_column_merge(spark):
     rows = spark.createDataFrame([(0, ["k", "1", "x"]), (1, ["j", "x", "y"]), (2, ["k", "2", "z"]), (3, ["j"])], "pos long, cells array<string>")
     assert [r.cells for r in statistics.add_column_merge(rows).orderBy("pos").collect()] == [["k", "3", "x"], ["j", "0", "y"]]
     assert [r.cells for r in statistics.add_column_merge(rows, minimum=1).collect()] == [["k", "3", "x"]]
+
+
+def test_control_characters_stay_under_the_default_replacement(spark):
+    for invalid in ("�", "\U0001f600", "�\U0001f600", "?"):
+        d = from_texts(spark.createDataFrame([(1, "a\x01\x02b é\U0001f600ü")], "id long, text string"), "id", "text")
+        assert text.encoding(d, "us-ascii", invalid).first().messages[0].value == f"a\x01\x02b {invalid}{invalid * 2}{invalid}"
+
+
+def test_numbers_of_sparse_ids(spark):
+    """Ids all over the 64 bits, each in a stretch of its own."""
+    import random
+
+    rng = random.Random(1)
+    ids = sorted({rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(500)} | {0, 1, -1, 1 << 40, (1 << 40) + 1, (1 << 63) - 1})
+    got = numbered(spark.createDataFrame([(i,) for i in rng.sample(ids, len(ids))], "i long"), "i").collect()
+    assert sorted((r.i, r.n) for r in got) == list(zip(ids, range(len(ids))))
+
+
+def test_replacements_that_settle_late(spark):
+    from parley.functions.text import fixpoint
+
+    assert fixpoint([("ba", "ab")])("b" * 60 + "a" * 2000) == "a" * 2000 + "b" * 60
+    for pairs, t in (([("3", "1"), ("2", "3"), ("1", "2")], "x1"), ([("a", "aa")], "a")):  # one goes round, one grows
+        with pytest.raises(ValueError):
+            fixpoint(pairs)(t)
+
+
+def test_many_patterns_by_automaton(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = ["".join(rng.choice("abéc") for _ in range(200)) for _ in range(40)]
+    d = from_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    got = {r.pattern: r.occurrences for r in statistics.count_occurrences(d, [[w] for w in words]).collect()}
+    assert got == {w: sum(t.count(w) for t in texts) for w in words} and len(got) > statistics.WIDE
+    few = {r.pattern: r.occurrences for r in statistics.count_occurrences(d, [[f"{w}+"] for w in sorted(set(words))[:70]], regex=True).collect()}
+    import re
+
+    assert few == {f"{w}+": sum(len(re.findall(f"{w}+", t)) for t in texts) for w in sorted(set(words))[:70]}
+
+
+def test_encoding_learns(spark):
+    """A vocabulary of three tokens knows four after it has seen a text with a new one."""
+    d = from_texts(spark.createDataFrame([(1, "one Testing two"), (2, "Testing more")], "id long, text string"), "id", "text")
+    known = spark.createDataFrame([("[UNK]", 0), ("one", 1), ("two", 2)], "token string, idx long")
+    v = statistics.learnt(d, known)
+    assert {r.token: r.idx for r in v.collect()} == {"[UNK]": 0, "one": 1, "two": 2, "Testing": 3, "more": 4}
+    assert statistics.encoded(d, v).where("id = 1").first().codes == [[1], [3], [2]]
+
+
+def test_statistics_of_ones_own(spark):
+    from pyspark.sql import functions as F
+
+    d = from_texts(spark.createDataFrame([(1, "a-b a"), (2, "")], "id long, text string"), "id", "text")
+    got = {r.id: r for r in statistics.conversation_stats(d, pattern="[ab]", extras={"most": F.max("tokens")}).collect()}
+    assert got[1].tokens_total == 3 and got[1].most == 3 and got[2].most == 0
+    assert statistics.message_stats(d, "b").where("id = 1").first().tokens == 1
+    some = spark.createDataFrame([([2.0, 4.0, 4.0, 5.0],), ([1.0],), ([],)], "x array<double>")
+    assert [round(r[0], 6) for r in some.select(statistics.spread(F.col("x"))).collect()] == [1.258306, 0.0, 0.0]
