@@ -371,6 +371,55 @@ def test_priority_sample_stands_for_the_corpus(spark):
     assert len(s.words) == len(set(s.words)) == lm_pseudo.TOP + lm_pseudo.PARTITION and 0.8 < s.weights.sum() < 1.2
 
 
+def test_probabilities_of_all_words_sum_to_one(documents):
+    """Z is of every word of the corpus: at each place their probabilities sum to 1."""
+    model = lm_pseudo.train(documents)
+    n = {r.word % (1 << 64): r.n for r in model.counts.collect()}
+    words = np.array(list(n), np.uint64)
+    assert len(words) > 1000 and dict(zip(model.sample.words.tolist(), np.rint(model.sample.weights * model.lexicon.total).astype(int).tolist())) == n
+    q = np.array(list(n.values())) / model.lexicon.total
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        ctx = np.repeat(rng.integers(0, model.lexicon.size, (4, 1)), len(words), 1)
+        assert abs((q * np.exp(model.net.fit(ctx, words, model.sample))).sum() - 1) < 1e-4
+
+
+def test_scores_over_all_words_by_definition(spark, documents, monkeypatch):
+    """As test_lm_scores_by_definition, in doubles with Z summed over the counts of the corpus, not over what the model holds."""
+    for cache in (lm_pseudo.CACHE, 60):
+        monkeypatch.setattr(lm_pseudo, "CACHE", cache)
+        monkeypatch.setattr(lm_pseudo, "SYMBOLS", min(cache, 4096))
+        model = lm_pseudo.train(documents)
+        lex, net = model.lexicon, model.net
+        counts = {r.word % (1 << 64): r.n for r in model.counts.collect()}
+        v = net.vectors(np.array(list(counts), np.uint64)).astype(float)
+        log_q = np.log(np.array(list(counts.values())) / lex.total)
+        some = documents.where("doc_id % 9 = 0 and text is not null")
+        text = {r.doc_id: r.text for r in some.collect()}
+        for r in lm_pseudo.score(some, model).collect():
+            want = 0.0
+            for _, h, first in lm_pseudo._words(pa.array([text[r.doc_id]])):
+                x = np.tanh(sum(net.e[k].astype(float)[c] for k, c in enumerate(lm_pseudo.windows(lex, h, first))) + net.b)
+                log_n = np.log([counts.get(w, 1) / lex.total for w in h.tolist()])
+                for at in range(0, len(h), 500):
+                    y = x[at : at + 500]
+                    want += (log_n[at : at + 500] + (y * net.vectors(h[at : at + 500])).sum(1) - np.logaddexp.reduce(y @ v.T + log_q, axis=1)).sum()
+            assert abs(r.log_likelihood - want) <= 1e-3 * max(1, r.n_words)
+
+
+def test_partition_by_definition():
+    """Also of one word, of none, of words that share rows, and of vectors whose exponentials exceed single precision."""
+    rng = np.random.default_rng(6)
+    for words, rows, scale in ((1, 64, 1), (0, 64, 1), (3000, 64, 1), (3000, 4096, 1), (3000, 1024, 100)):
+        net = lm_pseudo.Net.start(12, rows)
+        net.u *= scale
+        s = lm_pseudo.Sample(rng.integers(0, 2**63, words).astype(np.uint64), rng.random(words) / 1000)
+        hid = rng.uniform(-1, 1, (2500, 16)).astype(np.float32)
+        want = np.logaddexp.reduce(hid.astype(float) @ net.vectors(s.words).astype(float).T + np.log(s.weights), axis=1, initial=-np.inf)
+        assert np.allclose(net.partition(s)(hid), want, rtol=1e-5, atol=1e-5)
+    assert len(net.partition(s)(hid[:0])) == 0
+
+
 def test_the_model_grows_with_the_corpus():
     assert lm_pseudo.known(10**6)[0] > lm_pseudo.SYMBOLS and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
     assert lm_pseudo.groups(10**10) >= 9 * lm_pseudo.groups(10**8)
