@@ -420,6 +420,77 @@ def test_partition_by_definition():
     assert len(net.partition(s)(hid[:0])) == 0
 
 
+def test_few_places_are_summed_over_all_words(documents, monkeypatch):
+    """Scores take moments of all words for nearly all places, so words times places are summed for few, and log Z is the same."""
+    model = lm_pseudo.train(documents)
+    asked, partition = [], lm_pseudo.Net.partition
+
+    def counting(net, sample):
+        log_z = partition(net, sample)
+        return lambda hid: asked.append(len(hid)) or log_z(hid)
+
+    monkeypatch.setattr(lm_pseudo.Net, "partition", counting)
+    texts = pa.array([r.text for r in documents.collect()])
+    n, _ = lm_pseudo.score_arrays(model, texts)
+    assert n.sum() > 10_000 and sum(asked) < n.sum() / 50
+    hid = np.concatenate([model.net.hidden(lm_pseudo.windows(model.lexicon, h, first)) for _, h, first in lm_pseudo._words(texts)])[::7]
+    z, good = model.near(hid)
+    assert good.mean() > 0.98 and np.abs(z - partition(model.net, model.sample)(hid))[good].max() < lm_pseudo.TOLERANCE
+
+
+def test_places_that_no_centre_is_near_to(spark, documents, monkeypatch):
+    """With no error allowed all places are summed over all words, a few hundred at a time, and scores are the same."""
+    some = documents.where("doc_id % 9 = 0")
+    model = lm_pseudo.train(documents)
+    want = {r.doc_id: r for r in lm_pseudo.score(some, model).collect()}
+    monkeypatch.setattr(lm_pseudo, "TOLERANCE", 0.0)
+    monkeypatch.setattr(lm_pseudo, "FAR", 700)
+    strict = lm_pseudo.train(documents)
+    assert not strict.near(np.zeros((3, lm_pseudo.HIDDEN), np.float32))[1].any()
+    got = lm_pseudo.score(some, strict).collect()
+    assert len(got) == len(want) > 10
+    for r in got:
+        assert r.n_words == want[r.doc_id].n_words and (r.n_words == 0 or abs(r.mean_log_likelihood - want[r.doc_id].mean_log_likelihood) < 2e-5)
+
+
+def test_equal_places_are_summed_once(spark, monkeypatch):
+    """Places with equal contexts that no centre is near to: as many sums as contexts, in one piece."""
+    rows = [(i, "one two three four five six seven") for i in range(60)] + [(99, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_pseudo.train(docs)
+    monkeypatch.setattr(lm_pseudo, "FAR", 60)  # of 422 places, 9 differ
+    model.near.limits[:] = -np.inf
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(x) or broadcast(sc, x))
+    got = {r.doc_id: r for r in lm_pseudo.score(docs, model).collect()}
+    pieces = [x[1] for x in sent if isinstance(x, tuple) and len(x) == 2 and getattr(x[1], "ndim", 0) == 2]
+    assert [len(x) for x in pieces] == [9]
+    n, want = lm_pseudo.score_arrays(model, pa.array([rows[0][1], rows[-1][1]]))
+    assert got[0].n_words == 7 and len({got[i].log_likelihood for i in range(60)}) == 1 and np.allclose([got[0].log_likelihood, got[99].log_likelihood], want, atol=1e-3)
+
+
+def test_bound_of_the_error_by_definition():
+    """Where a place is called near, log Z is within the bound, also for vectors so long that few or no places are."""
+    rng = np.random.default_rng(8)
+    for words, scale, reach in ((4000, 1, 0.3), (4000, 4, 0.3), (4000, 100, 0.3), (4000, 1, 3.0), (1, 1, 0.3)):
+        net = lm_pseudo.Net.start(12, 1024)
+        net.u *= scale
+        w, share = rng.integers(0, 2**63, words).astype(np.uint64), rng.pareto(1.2, words) + 1
+        share /= share.sum()
+        v = net.vectors(w)
+        middle = share @ v
+        centres = rng.uniform(-0.5, 0.5, (9, lm_pseudo.HIDDEN))
+        width = 1.0001 * float(np.linalg.norm(v - middle, axis=1).max() + 1e-3) / lm_pseudo.BINS
+        sums = sum(lm_pseudo.tilted(v[at : at + 999], share[at : at + 999], centres, middle, width) for at in range(0, words, 999))
+        near = lm_pseudo.Near.of(np.eye(lm_pseudo.HIDDEN), centres, middle, width, sums.astype(float))
+        hid = np.clip(np.repeat(centres, 200, 0) + rng.normal(0, reach / 4, (1800, lm_pseudo.HIDDEN)), -1, 1).astype(np.float32)
+        z, good = near(hid)
+        want = np.logaddexp.reduce(hid.astype(float) @ v.T.astype(float) + np.log(share), axis=1)
+        assert np.abs(z - want)[good].max(initial=0) < lm_pseudo.TOLERANCE
+        assert good.mean() > 0.95 if scale == 1 and reach < 1 else not good.all() or words == 1
+    assert len(near(hid[:0])[0]) == 0
+
+
 def test_the_model_grows_with_the_corpus():
     assert lm_pseudo.known(10**6)[0] > lm_pseudo.SYMBOLS and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
     assert lm_pseudo.groups(10**10) >= 9 * lm_pseudo.groups(10**8)
