@@ -56,6 +56,6 @@ def exact_replace(df: DataFrame, replacements: list = (), packed: list = (), rec
     return with_values(df, rewrite)
 
 
-def html_strip(df: DataFrame, anchor_patterns: list = (), anchor_selector: str = "a, img", dom: list = (), case_sensitive: bool = True) -> DataFrame:
-    """Values parsed as HTML fragments and replaced by their text."""
-    return with_udf_values(df, T.on_arrays(stripper(anchor_patterns, anchor_selector, dom, case_sensitive)))
+def html_strip(df: DataFrame, anchor_patterns: list = (), anchor_selector: str = "a, img", dom: list = (), case_sensitive: bool = True, bare_references: bool = True) -> DataFrame:
+    """Values parsed as HTML fragments and replaced by their text. References without a semicolon are read as HTML does, unless bare_references is false."""
+    return with_udf_values(df, T.on_arrays(stripper(anchor_patterns, anchor_selector, dom, case_sensitive, bare_references)))

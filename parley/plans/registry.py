@@ -73,7 +73,7 @@ def _participants(c, _):
 
 
 def _html(c, _):
-    return lambda df: text.html_strip(df, c.get("stripAnchorPatterns") or [], c.get("anchorSelector", "a, img"), c.get("stripDom") or [], bool(c.get("caseSensitive", True)))
+    return lambda df: text.html_strip(df, c.get("stripAnchorPatterns") or [], c.get("anchorSelector", "a, img"), c.get("stripDom") or [], bool(c.get("caseSensitive", True)), bool(c.get("bareReferences", True)))
 
 
 def _rename(c, _):

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.functions.html import Selector, parse, stripper
 from parley.operators import filters, statistics, text
+from parley.queries import QUERIES, SQL
 from parley.schema import CONVERSATION, flat, from_texts, from_turns, numbered
 
 
@@ -87,6 +89,18 @@ def test_html(spark):
     assert stripper()("<ul><li>a<li>b</ul><b>c") == "abc"
 
 
+def test_references_without_a_semicolon(spark, tmp_path):
+    cut = '<h1>a &amp; b&amp</h1><p title="&quot">c&quot</p><script>d&amp</script>&ampx; &nosuch; &#65; &#65 & &copy2 \U000f0000'
+    assert stripper()(cut) == 'a & b&c"d&amp&x; &nosuch; A A & ©2 \U000f0000'
+    assert stripper(bare_references=False)(cut) == "a & b&ampc&quotd&amp&ampx; &nosuch; A &#65 & &copy2 \U000f0000"
+    assert [e.attrs for e in parse(cut, False).elements() if e.tag == "p"] == [{"title": "&quot"}]
+    spark.createDataFrame([(1, "<html><body><h1>a &amp; b&amp</h1><p>c&quot</p></body></html>"), (2, "<p>&copy; d</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(SQL["html_strip"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["html_strip"](spark, str(tmp_path)).collect()) == want == [(1, "a & b&ampc&quot"), (2, "© d")]
+
+
 @pytest.mark.parametrize("selector,n", [("a, img", 2), ("div a", 1), ("div > p", 2), ("[href]", 1), ("[href='/u']", 1), ("[href^='/x']", 0), ("div.ad.x", 1), ("*", 7), ("span", 0), ("div[class~=ad] p", 2)])
 def test_selectors(selector, n):
     s = Selector(selector)
