@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -120,17 +121,21 @@ def reread_utf8(text: str, invalid: str) -> str:
     """The text's UTF-16 code units taken as bytes (those above 0xFF are no byte) and decoded as UTF-8."""
     if text.isascii():
         return text
-    units = text.encode("utf-16-le")
-    data = bytes(units[i] if units[i + 1] == 0 else 0xFF for i in range(0, len(units), 2))
-    return data.decode("utf-8", "replace").replace("�", invalid)
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    return np.minimum(units, 0xFF).astype(np.uint8).tobytes().decode("utf-8", "replace").replace("�", invalid)
 
 
-def on_arrays(f):
-    """A function of one text as an Arrow function of array<string>; nulls stay."""
+def on_arrays(f, most: int = 1 << 20):
+    """A function of one text as an Arrow function of array<string>; nulls stay. Of a batch's texts some `most` bytes at a time, or one that is longer, are Python's."""
 
     def run(arrays: pa.Array) -> pa.Array:
-        values = arrays.flatten().to_pylist()
-        done = pa.array([None if v is None else f(v) for v in values], pa.string())
+        values = arrays.flatten()
+        ends, parts, at = pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64).cumsum(), [pa.array([], pa.string())], 0
+        while at < len(values):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            parts.append(pa.array([None if v is None else f(v) for v in values.slice(at, stop - at).to_pylist()], pa.string()))
+            at = stop
+        done = pa.concat_arrays(parts)
         lengths = [0 if n is None else n for n in pc.list_value_length(arrays).to_pylist()]
         offsets, at = [0], 0
         for n in lengths:
@@ -139,7 +144,7 @@ def on_arrays(f):
         missing = pa.array([x for x in arrays.is_null().to_pylist()] + [False])
         return pa.ListArray.from_arrays(pa.array([None if m else o for o, m in zip(offsets, missing.to_pylist())], pa.int32()), done)
 
-    return F.arrow_udf(run, "array<string>")
+    return F.arrow_udf(run, "array<string>").asNondeterministic()  # else a filter that Spark infers from an explode runs it once more, in workers of its own
 
 
 def fixpoint(pairs: list[tuple[str, str]], growth: int = 1000):

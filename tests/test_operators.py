@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,26 @@ def test_encoding(spark, codec, value, want):
     assert values(text.encoding(chat(spark, [("a", value)]), codec, "?")) == [[want]]
 
 
+def test_texts_of_a_batch_are_held_a_few_at_a_time(spark):
+    import tracemalloc
+
+    run = T.on_arrays(lambda v: T.reread_utf8(v, "?")).func
+    values = ["é😀" * 5000, None, "", "Ã©"] * 500
+    arrays = pa.array([values[k : k + 4] if k % 3 else None for k in range(0, len(values), 4)] + [[]], pa.list_(pa.string()))
+    tracemalloc.start()
+    got = run(arrays)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None if x is None else [None if v is None else T.reread_utf8(v, "?") for v in x] for x in arrays.to_pylist()]
+    assert most < arrays.nbytes  # Python's own, beside Arrow's; several times as much where all texts are held
+    assert T.reread_utf8("Ã©ÿĀ😀퟿\x00z", "?") == "é?????\x00z"
+
+
+def test_texts_pass_through_python_once(spark):
+    df = flat(text.encoding(chat(spark, [("a", "Ã©")]), "utf-8", "?"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and [r.value for r in df.collect()] == ["é"]
+
+
 def test_encoding_replacement_above_the_top(spark):
     assert values(text.encoding(chat(spark, [("a", "é😀x")]), "us-ascii", "\u3042")) == [["\u3042\u3042\u3042x"]]
     assert values(text.encoding(chat(spark, [("a", "é😀x")]), "us-ascii")) == [["\ufffd\ufffd\ufffdx"]]
