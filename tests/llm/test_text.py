@@ -491,6 +491,19 @@ def test_bound_of_the_error_by_definition():
     assert len(near(hid[:0])[0]) == 0
 
 
+def test_bound_by_the_rows_of_both_halves(spark):
+    """Places that the bound by lengths leaves to the sum over all words, which takes places times words, are mostly within the bound by rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = lm_pseudo.train(docs)
+    hid = np.concatenate([model.net.hidden(lm_pseudo.windows(model.lexicon, h, first)) for _, h, first in lm_pseudo._words(pa.array([r.text for r in docs.collect()]))])
+    rows, model.near.rows = model.near.rows, None
+    far = hid[~model.near(hid)[1]]
+    model.near.rows = rows
+    z, good = model.near(far)
+    assert len(far) > 20 and good.mean() > 0.8
+    assert np.abs(z - model.net.partition(model.sample)(far))[good].max() < lm_pseudo.TOLERANCE
+
+
 def test_the_model_grows_with_the_corpus():
     assert lm_pseudo.known(10**6)[0] > lm_pseudo.SYMBOLS and lm_pseudo.known(10**8)[0] >= 9 * lm_pseudo.known(10**6)[0]
     assert lm_pseudo.groups(10**10) >= 9 * lm_pseudo.groups(10**8)
